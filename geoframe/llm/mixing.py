@@ -148,7 +148,7 @@ def mix(docs: DataFrame, members: Column, weights: Callable[[list[Source]], list
     wanted = [(k, *divmod(sum(f.values()), totals[k])) if totals[k] else (k, 0, 0) for k, f in zip(keys, flow)]
     cuts = _cuts(docs.sparkSession, bins, lambda df: sized(df), slim, wanted)
     plan = docs.sparkSession.createDataFrame([(k, full, cuts.get(k, "")) for k, full, _ in wanted], "__key string, __full long, __cut string")
-    out = sized(marked).join(plan, "__key", "left")  # a row a pattern
+    out = sized(marked).join(F.broadcast(plan), "__key", "left")  # a row a pattern, from the driver
     out = out.withColumn("taken", F.col("size") * (F.coalesce("__full", F.lit(0)) + F.when(F.col("__h") <= F.col("__cut"), 1).otherwise(0)))
     took = [sum(f.get(i, 0) for f in flow) for i in range(len(names))]
     report = [{"source": s, "size": sizes[i], "target": targets[i], "taken": took[i]} for i, s in enumerate(names)]
@@ -183,7 +183,8 @@ def _cuts(spark: SparkSession, bins: DataFrame, sized, slim: DataFrame, wanted:
     upto = Window.partitionBy("__key").orderBy("__bin")  # at most 16^BIN rows a pattern
     edges = bins.join(table_, "__key").withColumn("__upto", F.sum("size").over(upto))
     edge = edges.filter("__upto >= __need AND __upto - size < __need").select("__key", "__bin", "__need", (F.col("__upto") - F.col("size")).alias("__before"))
-    inside = sized(slim.join(durable(edge), ["__key", "__bin"])).groupBy("__key", "__need", "__before", "__h").agg(F.sum("size").alias("size"))
+    # The driver holds a row a pattern already, so that many can be broadcast.
+    inside = sized(slim.join(F.broadcast(edge), ["__key", "__bin"])).groupBy("__key", "__need", "__before", "__h").agg(F.sum("size").alias("size"))
     cum = F.sum("size").over(Window.partitionBy("__key").orderBy("__h"))  # one bin of a pattern
     placed = inside.withColumn("__upto", F.col("__before") + cum)
     fits = F.col("__upto") * 2 - F.col("size") <= F.col("__need") * 2
