@@ -70,12 +70,12 @@ def filter_inside(points: DataFrame, polygons: DataFrame, key: str, point: str =
 
     ``key`` is unique in ``points``. MultiPoints without an inside position go.
     """
-    each = points.select(F.col(key).alias("k"), F.posexplode(coordinates(F.col(point))).alias("at", "p"))
-    each = each.select("k", "at", F.struct(F.lit("Point").alias("type"), F.array(F.array(F.array("p"))).alias("parts"), F.lit(None).cast("array<double>").alias("bbox")).alias("geometry"))
-    hit = points_in_polygons(each, polygons, "geometry", polygon).select("point.k", "point.at", only_position(F.col("point.geometry")).alias("p")).distinct()
-    kept = hit.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("ps"))
-    joined = points.join(kept, points[key] == kept["k"])
-    left = F.transform("ps", lambda x: x["p"])
+    each = points.select(F.col(key).alias("__k"), F.posexplode(coordinates(F.col(point))).alias("at", "p"))
+    each = each.select("__k", "at", F.struct(F.lit("Point").alias("type"), F.array(F.array(F.array("p"))).alias("parts"), F.lit(None).cast("array<double>").alias("bbox")).alias("geometry"))
+    hit = points_in_polygons(each, polygons, "geometry", polygon).select("point.__k", "point.at", only_position(F.col("point.geometry")).alias("p")).distinct()
+    kept = hit.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("__ps"))
+    joined = points.join(kept, points[key] == kept["__k"])
+    left = F.transform("__ps", lambda x: x["p"])
     cut = F.when(F.col(f"{point}.type") == "MultiPoint", multi_point(left, F.col(f"{point}.bbox"))).otherwise(F.col(point))
     return joined.withColumn(point, cut).select(*points.columns)
 

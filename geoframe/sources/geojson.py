@@ -64,7 +64,7 @@ def geometries(j: Column) -> Column:
     """The geometries of a collection, one level of nested collections flattened; null if malformed."""
     items = F.from_json(F.get_json_object(j, "$.geometries"), "array<string>")
     inner = lambda x: F.when(F.get_json_object(x, "$.type") == "GeometryCollection", F.from_json(F.get_json_object(x, "$.geometries"), "array<string>")).otherwise(F.array(x))
-    made = F.transform(F.flatten(F.transform(items, inner)), geometry_or_null)
+    made = F.transform(F.flatten(F.transform(items, inner)), lambda x: geometry_or_null(x))
     return F.when((F.get_json_object(j, "$.type") == "GeometryCollection") & F.forall(made, lambda g: g.isNotNull()), made)
 
 
