@@ -73,13 +73,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def scalar(name: str, column: Column, sql: str, digits: int = 6):
+def scalar(name: str, column: Callable[[], Column], sql: str, digits: int = 6):
     """A query of one rounded measure of each pair of points."""
-    QUERIES[name] = lambda spark, d: points(spark, d).select("id", F.round(column, digits).alias("value"))
+    QUERIES[name] = lambda spark, d: points(spark, d).select("id", F.round(column(), digits).alias("value"))
     SQL[name] = f"WITH p AS ({POINTS}) SELECT id, round({sql}, {digits}) AS value FROM p"
 
 
-A, B = F.col("a"), F.col("b")
+
+
+def _a() -> Column:
+    return F.col("a")
+
+
+def _b() -> Column:
+    return F.col("b")
+
+
 R = "CAST(6371008.8 AS DOUBLE)"
 
 
@@ -115,21 +124,21 @@ def rhumb(x1: str, y1: str, x2: str, y2: str) -> str:
 P4 = ("x1", "y1", "x2", "y2")
 DX = "radians(x2 - x1)"
 WRAPPED = f"(CASE WHEN {DX} > pi() THEN {DX} - 2 * pi() WHEN {DX} < -pi() THEN {DX} + 2 * pi() ELSE {DX} END)"
-scalar("haversine", M.distance(A, B) / 1000, f"{hav(*P4)} / 1000", 3)
-scalar("rhumb_distance", M.rhumb_distance(A, B) / 1000, f"{rhumb(*P4)} / 1000", 3)
-scalar("bearing_initial", M.bearing(A, B), brg(*P4), 5)
-scalar("bearing_final", M.bearing(A, B, final=True), pmod(f"{brg('x2', 'y2', 'x1', 'y1')} + 180"), 5)
-scalar("rhumb_bearing", M.rhumb_bearing(A, B), pmod(f"degrees(atan2({WRAPPED}, {ISO.format(a='y1', b='y2')}))"), 5)
-scalar("round_half_even", G.round_even(F.col("x1"), 2), "round_even(x1, 2)", 2)
-scalar("unit_convert", U.convert(M.distance(A, B), "meters", "nautical_miles"), f"{hav(*P4)} / 1852", 3)
-scalar("bearing_arith", U.smallest_rotation(M.bearing(A, B), M.rhumb_bearing(A, B)), "CASE WHEN t > 180 THEN t - 360 ELSE t END", 4)
+scalar("haversine", lambda: M.distance(_a(), _b()) / 1000, f"{hav(*P4)} / 1000", 3)
+scalar("rhumb_distance", lambda: M.rhumb_distance(_a(), _b()) / 1000, f"{rhumb(*P4)} / 1000", 3)
+scalar("bearing_initial", lambda: M.bearing(_a(), _b()), brg(*P4), 5)
+scalar("bearing_final", lambda: M.bearing(_a(), _b(), final=True), pmod(f"{brg('x2', 'y2', 'x1', 'y1')} + 180"), 5)
+scalar("rhumb_bearing", lambda: M.rhumb_bearing(_a(), _b()), pmod(f"degrees(atan2({WRAPPED}, {ISO.format(a='y1', b='y2')}))"), 5)
+scalar("round_half_even", lambda: G.round_even(F.col("x1"), 2), "round_even(x1, 2)", 2)
+scalar("unit_convert", lambda: U.convert(M.distance(_a(), _b()), "meters", "nautical_miles"), f"{hav(*P4)} / 1852", 3)
+scalar("bearing_arith", lambda: U.smallest_rotation(M.bearing(_a(), _b()), M.rhumb_bearing(_a(), _b())), "CASE WHEN t > 180 THEN t - 360 ELSE t END", 4)
 SQL["bearing_arith"] = f"WITH p AS ({POINTS}), q AS (SELECT *, {brg(*P4)} AS b1, {pmod(f'degrees(atan2({WRAPPED}, {ISO.format(a="y1", b="y2")}))')} AS b2 FROM p), r AS (SELECT id, {pmod('b2 - b1')} AS t FROM q) SELECT id, round(CASE WHEN t > 180 THEN t - 360 ELSE t END, 4) AS value FROM r"
 FAR = dest("x1", "y1", "d", "t")
 
 
 @query("destination", f"WITH p AS ({POINTS}), q AS (SELECT *, CAST(1000 * (id % 900 + 1) AS DOUBLE) AS d, CAST(id % 360 AS DOUBLE) AS t FROM p) SELECT id, round({FAR[0]}, 6) AS lon, round({FAR[1]}, 6) AS lat FROM q")
 def destination(spark, d):
-    to = M.destination(A, 1000 * (F.col("id") % 900 + 1), F.col("id") % 360)
+    to = M.destination(_a(), 1000 * (F.col("id") % 900 + 1), F.col("id") % 360)
     return points(spark, d).select("id", to.alias("to")).select("id", F.round(G.lon(F.col("to")), 6).alias("lon"), F.round(G.lat(F.col("to")), 6).alias("lat"))
 
 
@@ -138,8 +147,8 @@ MID = dest("x1", "y1", "d", "t")
 
 @query("midpoint", f"WITH p AS ({POINTS}), q AS (SELECT *, {hav(*P4)} / 2 AS d, {brg(*P4)} AS t FROM p) SELECT id, round({MID[0]}, 5) AS lon, round({MID[1]}, 5) AS lat FROM q")
 def midpoint(spark, d):
-    bound = points(spark, d).select("id", "a", (M.distance(A, B) / 2).alias("d"), M.bearing(A, B).alias("t"))
-    to = bound.select("id", M.destination(A, F.col("d"), F.col("t")).alias("to"))
+    bound = points(spark, d).select("id", "a", (M.distance(_a(), _b()) / 2).alias("d"), M.bearing(_a(), _b()).alias("t"))
+    to = bound.select("id", M.destination(_a(), F.col("d"), F.col("t")).alias("to"))
     return to.select("id", F.round(G.lon(F.col("to")), 5).alias("lon"), F.round(G.lat(F.col("to")), 5).alias("lat"))
 
 
@@ -220,7 +229,7 @@ def explode_points(spark, d):
 
 @query("combine_by_type", "SELECT (SELECT count(*) FROM customer) AS points, (SELECT count(*) FROM customer) AS lines, (SELECT count(*) FROM supplier) AS polygons, (SELECT count(*) * 6 FROM customer) AS line_positions")
 def combine_by_type(spark, d):
-    gs = points(spark, d).select(G.point(A).alias("geometry")).unionByName(lines(spark, d).select(G.line_string(F.col("line")).alias("geometry"))).unionByName(boxes(spark, d).select(F.col("polygon").alias("geometry")))
+    gs = points(spark, d).select(G.point(_a()).alias("geometry")).unionByName(lines(spark, d).select(G.line_string(F.col("line")).alias("geometry"))).unionByName(boxes(spark, d).select(F.col("polygon").alias("geometry")))
     made = C.combine(gs)
     count = lambda c: F.size(G.children(F.col(c))).cast("long").alias(c)
     return made.select(count("points"), count("lines"), count("polygons"), F.size(G.coordinates(F.col("lines"))).cast("long").alias("line_positions"))
@@ -255,13 +264,13 @@ INSIDE = "p.x1 >= b.cx - b.w AND p.x1 <= b.cx + b.w AND p.y1 >= b.cy - b.w AND p
 
 @query("points_within_polygon_semi", f"WITH p AS ({POINTS}), b AS ({BOXES}) SELECT id FROM p WHERE EXISTS (SELECT 1 FROM b WHERE {INSIDE})")
 def points_within_polygon_semi(spark, d):
-    ps = points(spark, d).select("id", G.point(A).alias("geometry"))
+    ps = points(spark, d).select("id", G.point(_a()).alias("geometry"))
     return J.filter_inside(ps, boxes(spark, d).select(F.col("polygon").alias("geometry")), "id").select("id")
 
 
 @query("spatial_join", f"WITH p AS ({POINTS}), b AS ({BOXES}) SELECT bid, count(*) AS n, min(id) AS first_id FROM p JOIN b ON {INSIDE} GROUP BY bid")
 def spatial_join(spark, d):
-    ps = points(spark, d).select("id", G.point(A).alias("geometry"))
+    ps = points(spark, d).select("id", G.point(_a()).alias("geometry"))
     got = J.points_in_polygons(ps, boxes(spark, d).select("bid", F.col("polygon").alias("geometry")))
     return got.groupBy("polygon.bid").agg(F.count("*").alias("n"), F.min("point.id").alias("first_id"))
 
@@ -283,7 +292,7 @@ def box_join(spark, d):
 
 @query("bbox_search", f"WITH p AS ({POINTS}) SELECT id FROM p WHERE x1 BETWEEN -20 AND 40 AND y1 BETWEEN -10 AND 30")
 def bbox_search(spark, d):
-    return SpatialIndex(points(spark, d).select("id", G.point(A).alias("geometry"))).search(M.box(-20, -10, 40, 30)).select("id")
+    return SpatialIndex(points(spark, d).select("id", G.point(_a()).alias("geometry"))).search(M.box(-20, -10, 40, 30)).select("id")
 
 
 @query("bbox_collides", f"WITH b AS ({BOXES}), k AS (SELECT unnest([1, 2, 3]) AS k) SELECT CAST(k AS INTEGER) AS k, bool_or(cx - w <= k * 10 + 1 AND cx + w >= k * 10 AND cy - w <= k + 1 AND cy + w >= k) AS hit FROM b, k GROUP BY k")
@@ -295,7 +304,7 @@ def bbox_collides(spark, d):
 
 @query("index_remove_anti", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0")
 def index_remove_anti(spark, d):
-    rows_ = points(spark, d).select("id", G.point(A).alias("geometry"))
+    rows_ = points(spark, d).select("id", G.point(_a()).alias("geometry"))
     return SpatialIndex(rows_).remove(rows_.filter("id % 3 = 0")).df.select("id")
 
 
@@ -311,7 +320,7 @@ RIM = dest("x", "y", "r", "t")
 
 @query("circle", f"WITH p AS (SELECT id, x1 AS x, y1 AS y, CAST((id % 50 + 1) * 1000 AS DOUBLE) AS r, unnest(range(0, 17)) AS k FROM ({POINTS}) WHERE id % 10 = 0), q AS (SELECT id, k, x, y, r, k * CAST(-360 AS DOUBLE) / 16 AS t FROM p) SELECT id, k AS place, round({RIM[0]}, 5) AS lon, round({RIM[1]}, 5) AS lat FROM q")
 def circle(spark, d):
-    made = points(spark, d).filter("id % 10 = 0").select("id", X.circle(A, (F.col("id") % 50 + 1) * 1000, 16).alias("g"))
+    made = points(spark, d).filter("id % 10 = 0").select("id", X.circle(_a(), (F.col("id") % 50 + 1) * 1000, 16).alias("g"))
     e = made.select("id", F.posexplode(G.coordinates(F.col("g"))).alias("place", "p")).filter("place < 17")
     return e.select("id", F.col("place").cast("long").alias("place"), F.round(G.lon(F.col("p")), 5).alias("lon"), F.round(G.lat(F.col("p")), 5).alias("lat"))
 
@@ -324,7 +333,7 @@ def square_grid(spark, d):
 
 @query("great_circle")
 def great_circle(spark, d):
-    made = points(spark, d).select("id", X.great_circle(A, B, 20).alias("g"))
+    made = points(spark, d).select("id", X.great_circle(_a(), _b(), 20).alias("g"))
     return made.select("id", F.col("g.type").alias("type"), F.size(G.coordinates(F.col("g"))).alias("positions"))
 
 
@@ -360,7 +369,7 @@ def simplify_line(spark, d):
 
 @query("unit_sum", f"WITH p AS ({POINTS}) SELECT id % 10 AS k, round(sum({hav(*P4)}) / 1609.344, 1) AS miles FROM p GROUP BY 1")
 def unit_sum(spark, d):
-    made = points(spark, d).groupBy((F.col("id") % 10).alias("k")).agg(U.sum_of(M.distance(A, B)).alias("m"))
+    made = points(spark, d).groupBy((F.col("id") % 10).alias("k")).agg(U.sum_of(M.distance(_a(), _b())).alias("m"))
     return made.select("k", F.round(U.from_base(F.col("m"), "miles"), 1).alias("miles"))
 
 
