@@ -36,23 +36,24 @@ def bbox_or_null(j: Column) -> Column:
     return F.when(is_valid_bbox(b), b)
 
 
-def _nested(j: Column, depth: int) -> Column:
-    return F.from_json(F.get_json_object(j, "$.coordinates"), "array<" * depth + "double" + ">" * depth)
+def _geometry_of(s: Column, kind: str | None) -> Column:
+    """A geometry of a struct of its members' texts, each of which is parsed once."""
+    own = s["type"]
+    nested = lambda depth: F.from_json(s["coordinates"], "array<" * depth + "double" + ">" * depth)
+    parts = (
+        F.when(own == "Point", F.array(F.array(F.array(nested(1)))))
+        .when(own.isin("MultiPoint", "LineString"), F.array(F.array(nested(2))))
+        .when(own.isin("MultiLineString", "Polygon"), F.array(nested(3)))
+        .when(own == "MultiPolygon", nested(4))
+    )
+    right = F.lit(True) if kind is None else own == kind
+    made = let(parts, lambda x: make(own, x, F.from_json(s["bbox"], BBOX)))
+    return let(made, lambda g: F.when(right & F.coalesce(is_valid(g), F.lit(False)) & (s["bbox"].isNull() | g["bbox"].isNotNull()), g))
 
 
 def geometry_or_null(j: Column, kind: str | None = None) -> Column:
     """A geometry other than a collection; null where it is malformed, invalid or of another type."""
-    own = F.get_json_object(j, "$.type")
-    parts = (
-        F.when(own == "Point", F.array(F.array(F.array(_nested(j, 1)))))
-        .when(own.isin("MultiPoint", "LineString"), F.array(F.array(_nested(j, 2))))
-        .when(own.isin("MultiLineString", "Polygon"), F.array(_nested(j, 3)))
-        .when(own == "MultiPolygon", _nested(j, 4))
-    )
-    raw = F.get_json_object(j, "$.bbox")
-    made = make(own, parts, F.from_json(raw, BBOX))
-    right = F.lit(True) if kind is None else own == kind
-    return let(made, lambda g: F.when(right & F.coalesce(is_valid(g), F.lit(False)) & (raw.isNull() | g["bbox"].isNotNull()), g))
+    return let(F.from_json(j, "type string, coordinates string, bbox string"), lambda s: _geometry_of(s, kind))
 
 
 def geometry(j: Column, kind: str | None = None) -> Column:
@@ -68,21 +69,23 @@ def geometries(j: Column) -> Column:
     return F.when((F.get_json_object(j, "$.type") == "GeometryCollection") & F.forall(made, lambda g: g.isNotNull()), made)
 
 
-def _member(v: Column, key: str) -> Column:
-    return F.to_json(F.try_variant_get(v, "$." + key, "variant"))
-
-
 def feature_or_null(j: Column) -> Column:
     """A feature; null where it is malformed. ``geometry`` must be there, if only as null."""
-    v = F.try_parse_json(j)
-    raw = _member(v, "geometry")
-    own = F.when(raw != "null", geometry_or_null(raw))
-    id_, props, box = _member(v, "id"), _member(v, "properties"), F.from_json(_member(v, "bbox"), BBOX)
-    keys = F.json_object_keys(j)
-    good_id = id_.isNull() | (id_ == "null") | id_.startswith('"') | id_.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")
-    good = F.array_contains(keys, "geometry") & (F.get_json_object(j, "$.type") == "Feature") & ((raw == "null") | own.isNotNull()) & good_id & (props.isNull() | (props == "null") | props.startswith("{"))
-    made = F.struct(own.alias("geometry"), F.when(props != "null", props).alias("properties"), F.when(id_ != "null", id_).alias("id"), box.alias("bbox"))
-    return F.when(F.coalesce(good, F.lit(False)), made).cast(FEATURE_DDL)
+
+    def made(f: Column) -> Column:
+        # The literal of an id, and whether a null geometry is there, take a second look at the text.
+        id_ = F.when(f["id"].isNotNull(), F.to_json(F.try_variant_get(F.try_parse_json(j), "$.id", "variant")))
+        found = F.struct(F.when(f["geometry"].isNotNull(), geometry_or_null(f["geometry"])).alias("geometry"), f["properties"].alias("properties"), id_.alias("id"), F.from_json(f["bbox"], BBOX).alias("bbox"))
+
+        def checked(x: Column) -> Column:
+            there = F.when(f["geometry"].isNotNull(), x["geometry"].isNotNull()).otherwise(F.array_contains(F.json_object_keys(j), "geometry"))
+            good_id = x["id"].isNull() | x["id"].startswith('"') | x["id"].rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")
+            good = (f["type"] == "Feature") & there & good_id & (x["properties"].isNull() | x["properties"].startswith("{"))
+            return F.when(F.coalesce(good, F.lit(False)), x).cast(FEATURE_DDL)
+
+        return let(found, checked)
+
+    return let(F.from_json(j, "type string, geometry string, properties string, id string, bbox string"), made)
 
 
 def feature(j: Column) -> Column:
