@@ -69,9 +69,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows bounds it
-    made = map_texts(known, lambda: lambda t: tuple(x.tolist() for x in features(t, bits)), "at array<int>, x array<float>")
+    made = map_texts(known, lambda: lambda t: tuple(x.tobytes() for x in features(t, bits)), "at binary, x binary")
     got = made.orderBy("doc_id").limit(max_rows).collect()
-    return train_ftrl([(np.array(r.at, np.int32), np.array(r.x, np.float32), r.label) for r in got], bits)
+    return train_ftrl([(np.frombuffer(r.at, np.int32), np.frombuffer(r.x, np.float32), r.label) for r in got], bits)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "score") -> DataFrame:
