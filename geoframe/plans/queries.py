@@ -277,7 +277,7 @@ def spatial_join(spark, d):
 
 @query("bbox_join_distance", f"WITH p AS ({POINTS}), b AS ({BOXES}) SELECT bid, count(*) AS n, round(sum({hav('x1', 'y1', 'cx', 'cy')}) / 1000, 1) AS km FROM p JOIN b ON {INSIDE} GROUP BY bid")
 def bbox_join_distance(spark, d):
-    """Flagship: points joined to the boxes that hold them, with the distances to their centres."""
+    """Points joined to the boxes that hold them, with the distances to their centres."""
     ps = points(spark, d).select("id", "x1", "y1", M.box(F.col("x1"), F.col("y1"), F.col("x1"), F.col("y1")).alias("bbox"))
     got = J.boxes_intersect(ps, boxes(spark, d).select("bid", "cx", "cy", F.col("box").alias("bbox")))
     far = M.distance_lonlat(F.col("left.x1"), F.col("left.y1"), F.col("right.cx"), F.col("right.cy"))

@@ -8,7 +8,7 @@ import pytest
 
 from geoframe.plans.queries import QUERIES, SQL
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"  # smaller tables have no point in a box
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 
 
