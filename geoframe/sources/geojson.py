@@ -1,7 +1,8 @@
 """GeoJSON as expressions over JSON text, and readers of documents and of lines.
 
 Unknown keys are ignored. A decoded feature is a struct of geometry, properties (JSON text), id
-(its JSON literal, so that "1" and 1 differ) and bbox. Nested geometry collections are flattened.
+(its JSON literal, so that "1" and 1 differ), bbox and geometries: the last holds the members
+of a geometry collection, in place of a geometry. Nested geometry collections are flattened.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from geoframe.functions.geometry import coordinates, let, lines_of, make
 from geoframe.schema import BBOX, GEOMETRY, GEOMETRY_DDL, is_valid, is_valid_bbox
 
-FEATURE_DDL = f"struct<geometry:{GEOMETRY_DDL},properties:string,id:string,bbox:array<double>>"
+FEATURE_DDL = f"struct<geometry:{GEOMETRY_DDL},properties:string,id:string,bbox:array<double>,geometries:array<{GEOMETRY_DDL}>>"
+MEMBERS = "type string, geometry struct<type:string,coordinates:string,geometries:string,bbox:string>, properties string, id string, bbox string"
 KINDS = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon", "GeometryCollection", "Feature", "FeatureCollection")
 
 
@@ -61,12 +63,17 @@ def geometry(j: Column, kind: str | None = None) -> Column:
     return let(geometry_or_null(j, kind), lambda g: F.when(j.isNull() | g.isNotNull(), g).otherwise(_error(f"not a valid {kind or 'geometry'}", GEOMETRY)))
 
 
-def geometries(j: Column) -> Column:
-    """The geometries of a collection, one level of nested collections flattened; null if malformed."""
-    items = F.from_json(F.get_json_object(j, "$.geometries"), "array<string>")
+def _children(text: Column) -> Column:
+    """The geometries of a JSON array, one level of nested collections flattened; null if one is malformed."""
+    items = F.from_json(text, "array<string>")
     inner = lambda x: F.when(F.get_json_object(x, "$.type") == "GeometryCollection", F.from_json(F.get_json_object(x, "$.geometries"), "array<string>")).otherwise(F.array(x))
     made = F.transform(F.flatten(F.transform(items, inner)), lambda x: geometry_or_null(x))
-    return F.when((F.get_json_object(j, "$.type") == "GeometryCollection") & F.forall(made, lambda g: g.isNotNull()), made)
+    return let(made, lambda gs: F.when(F.forall(gs, lambda g: g.isNotNull()), gs))
+
+
+def geometries(j: Column) -> Column:
+    """The geometries of a collection, one level of nested collections flattened; null if malformed."""
+    return F.when(F.get_json_object(j, "$.type") == "GeometryCollection", _children(F.get_json_object(j, "$.geometries")))
 
 
 def feature_or_null(j: Column) -> Column:
@@ -75,17 +82,23 @@ def feature_or_null(j: Column) -> Column:
     def made(f: Column) -> Column:
         # The literal of an id, and whether a null geometry is there, take a second look at the text.
         id_ = F.when(f["id"].isNotNull(), F.to_json(F.try_variant_get(F.try_parse_json(j), "$.id", "variant")))
-        found = F.struct(F.when(f["geometry"].isNotNull(), geometry_or_null(f["geometry"])).alias("geometry"), f["properties"].alias("properties"), id_.alias("id"), F.from_json(f["bbox"], BBOX).alias("bbox"))
+        many = f["geometry"]["type"] == "GeometryCollection"
+        one = F.when(f["geometry"].isNotNull() & ~F.coalesce(many, F.lit(False)), _geometry_of(f["geometry"], None))
+        found = F.struct(
+            one.alias("geometry"), f["properties"].alias("properties"), id_.alias("id"), F.from_json(f["bbox"], BBOX).alias("bbox"),
+            F.when(many, _children(f["geometry"]["geometries"])).alias("geometries"),
+        )
 
         def checked(x: Column) -> Column:
-            there = F.when(f["geometry"].isNotNull(), x["geometry"].isNotNull()).otherwise(F.array_contains(F.json_object_keys(j), "geometry"))
+            told_null = F.array_contains(F.json_object_keys(j), "geometry") & F.get_json_object(j, "$.geometry").isNull()
+            there = F.when(f["geometry"].isNotNull(), x["geometry"].isNotNull() | x["geometries"].isNotNull()).otherwise(told_null)
             good_id = x["id"].isNull() | x["id"].startswith('"') | x["id"].rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")
             good = (f["type"] == "Feature") & there & good_id & (x["properties"].isNull() | x["properties"].startswith("{"))
             return F.when(F.coalesce(good, F.lit(False)), x).cast(FEATURE_DDL)
 
         return let(found, checked)
 
-    return let(F.from_json(j, "type string, geometry string, properties string, id string, bbox string"), made)
+    return let(F.from_json(j, MEMBERS), made)
 
 
 def feature(j: Column) -> Column:
@@ -136,10 +149,14 @@ def encode_geometries(gs: Column) -> Column:
     return F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(F.transform(gs, encode_geometry), ","), F.lit("]}"))
 
 
-def encode_feature(geometry_: Column, properties: Column | None = None, id_: Column | None = None, bbox: Column | None = None) -> Column:
-    """{"type", "geometry", "properties", "id"?, "bbox"?}; ``properties`` is JSON text or a struct's to_json."""
+def encode_feature(geometry_: Column, properties: Column | None = None, id_: Column | None = None, bbox: Column | None = None, geometries: Column | None = None) -> Column:
+    """{"type", "geometry", "properties", "id"?, "bbox"?}; ``properties`` is JSON text or a struct's to_json.
+
+    Where the geometry is null, ``geometries`` are written as a collection.
+    """
     optional = lambda key, c: F.lit("") if c is None else F.when(c.isNotNull(), F.concat(F.lit(f',"{key}":'), c)).otherwise("")
-    body = F.coalesce(encode_geometry(geometry_), F.lit("null"))
+    collected = [] if geometries is None else [encode_geometries(geometries)]
+    body = F.coalesce(encode_geometry(geometry_), *collected, F.lit("null"))
     props = F.lit("null") if properties is None else F.coalesce(properties, F.lit("null"))
     return F.concat(F.lit('{"type":"Feature","geometry":'), body, F.lit(',"properties":'), props, optional("id", id_), optional("bbox", None if bbox is None else F.to_json(bbox)), F.lit("}"))
 
@@ -151,7 +168,6 @@ def encode_collection(features: Column) -> Column:
 
 def write_lines(df: DataFrame, path: str) -> None:
     """Newline-delimited features, one file a partition."""
-    id_ = F.col("id") if "id" in df.columns else None
-    box = F.col("bbox") if "bbox" in df.columns else None
-    props = F.col("properties") if "properties" in df.columns else None
-    df.select(encode_feature(F.col("geometry"), props, id_, box).alias("value")).write.text(path)
+    at = {c: F.col(c) if c in df.columns else None for c in ("properties", "id", "bbox", "geometries")}
+    geometry_ = F.col("geometry") if "geometry" in df.columns else F.lit(None).cast(GEOMETRY)
+    df.select(encode_feature(geometry_, at["properties"], at["id"], at["bbox"], at["geometries"]).alias("value")).write.text(path)
