@@ -180,10 +180,12 @@ def box_of_corners(sw: Column, ne: Column) -> Column:
 
 
 def positions_bbox(positions: Column) -> Column:
-    xs, ys = F.transform(positions, lon), F.transform(positions, lat)
-    made = box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
-    finite = F.forall(made, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return F.when(F.coalesce(finite, F.lit(False)), made)
+    def of(ps: Column) -> Column:
+        xs, ys = F.transform(ps, lon), F.transform(ps, lat)
+        return box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+
+    finite = lambda b: F.forall(b, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    return let(let(positions, of), lambda b: F.when(F.coalesce(finite(b), F.lit(False)), b))
 
 
 def compute_bbox(g: Column) -> Column:
@@ -205,9 +207,14 @@ def bbox_center(b: Column) -> Column:
 
 def bbox_polygon(b: Column) -> Column:
     """The rectangle, counter-clockwise from the south-west; an error for a box with altitudes."""
-    flat = F.when(F.size(b) == 4, b).otherwise(F.when(b.isNotNull(), F.raise_error(F.lit("a box with altitudes has no rectangle")).cast("array<double>")))
-    ring = lambda x: F.array(position(F.get(x, 0), F.get(x, 1)), position(F.get(x, 2), F.get(x, 1)), position(F.get(x, 2), F.get(x, 3)), position(F.get(x, 0), F.get(x, 3)), position(F.get(x, 0), F.get(x, 1)))
-    return polygon(F.when(b.isNotNull(), F.array(ring(flat))), flat)
+
+    def of(x: Column) -> Column:
+        flat = F.when(x.isNull() | (F.size(x) == 4), x).otherwise(F.raise_error(F.lit("a box with altitudes has no rectangle")).cast("array<double>"))
+        corner = lambda i, k: position(F.get(x, i), F.get(x, k))
+        ring = F.array(corner(0, 1), corner(2, 1), corner(2, 3), corner(0, 3), corner(0, 1))
+        return polygon(F.when(flat.isNotNull(), F.array(ring)), x)
+
+    return let(b, of)
 
 
 def envelope(g: Column) -> Column:
