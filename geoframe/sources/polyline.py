@@ -1,62 +1,102 @@
-"""Encoded polylines as expressions: deltas, lat before lon, in chunks of five bits."""
+"""Encoded polylines: deltas, lat before lon, in chunks of five bits.
+
+The columns are Arrow UDFs that code all characters of a batch at once. Built-in higher-order
+functions can say the same but walk the characters one by one outside compiled code.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from geoframe.functions.geometry import lat, let, lon
-
-EMPTY = "array<double>"
-
-
-def _chunks(v: Column) -> Column:
-    """The text of a signed number."""
-    zigzag = F.when(v < 0, -2 * v - 1).otherwise(2 * v)
-    count = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(1), lambda s, k: F.when(F.call_function("shiftright", zigzag, k * 5) > 0, k + 1).otherwise(s))
-    char = lambda k: F.chr(F.call_function("shiftright", zigzag, k * 5).bitwiseAND(F.lit(31).cast("long")) + F.when(k < count - 1, 32).otherwise(0) + 63)
-    return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), char), "")
+MOST_SHIFT = 55  # bits before the last five of a 64-bit number
+
+
+def encode_lines(lines: pa.Array, precision: int = 5) -> pa.Array:
+    """Texts of a batch of position arrays; null where a position lacks a finite lon or lat."""
+    n = len(lines)
+    count = pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    bad = lines.is_null().to_numpy(zero_copy_only=False).copy()
+    positions = lines.flatten()
+    row = np.repeat(np.arange(n), count)
+    axes = pc.fill_null(pc.list_value_length(positions), 0).to_numpy(zero_copy_only=False)
+    held = np.r_[positions.values.to_numpy(zero_copy_only=False).astype(float), np.nan, np.nan]
+    at = np.where(axes >= 2, np.asarray(positions.offsets)[:-1], len(held) - 2)
+    scaled = np.floor(np.stack([held[at + 1], held[at]], 1) * 10**precision + 0.5)  # lat comes first
+    wrong = ~np.isfinite(scaled).all(1)
+    bad[row[wrong]] = True
+    scaled[wrong] = 0
+    whole = scaled.astype(np.int64)
+    delta = np.diff(whole, axis=0, prepend=np.zeros((1, 2), np.int64))
+    first = (np.cumsum(count) - count)[count > 0]
+    delta[first] = whole[first]
+    zigzag = np.where(delta < 0, -2 * delta - 1, 2 * delta).ravel()
+    chunks = 1 + sum((zigzag >> k > 0).astype(np.int64) for k in range(5, MOST_SHIFT + 6, 5))
+    owner = np.repeat(np.arange(len(zigzag)), chunks)
+    place = np.arange(len(owner)) - (np.cumsum(chunks) - chunks)[owner]
+    text = ((zigzag[owner] >> 5 * place) & 31) + np.where(place < chunks[owner] - 1, 32, 0) + 63
+    ends = np.r_[0, np.cumsum(np.bincount(row[owner // 2], minlength=n))].astype(np.int32)
+    made = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(ends), pa.py_buffer(text.astype(np.uint8))])
+    return pc.if_else(pa.array(bad), pa.scalar(None, pa.string()), made)
 
 
 def encode(positions: Column, precision: int = 5) -> Column:
     """Positions as text; only the first two axes are kept."""
-    scaled = F.transform(positions, lambda p: F.array(F.floor(lat(p) * 10**precision + 0.5), F.floor(lon(p) * 10**precision + 0.5)))
 
-    def join(all_: Column) -> Column:
-        zero = F.array(F.array(F.lit(0).cast("long"), F.lit(0).cast("long")))
-        before = F.slice(F.concat(zero, all_), 1, F.size(all_))
-        return F.array_join(F.zip_with(all_, before, lambda a, b: F.concat(_chunks(F.get(a, 0) - F.get(b, 0)), _chunks(F.get(a, 1) - F.get(b, 1)))), "")
-
-    return let(scaled, join)
+    @F.arrow_udf("string")
+    def run(lines: pa.Array) -> pa.Array:
+        return encode_lines(lines, precision)
+
+    return run(positions.cast("array<array<double>>"))
+
+
+def decode_texts(texts: pa.Array, precision: int = 5) -> pa.Array:
+    """Positions of a batch of texts, all of whose characters are decoded at once; null where malformed."""
+    n = len(texts)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    held = b"".join(x for x in texts.cast("binary").to_pylist() if x)
+    v = np.frombuffer(held, np.uint8).astype(np.int64) - 63
+    row = np.repeat(np.arange(n), sizes)
+    bad = texts.is_null().to_numpy(zero_copy_only=False).copy()
+    bad[row[(v < 0) | (v > 63)]] = True
+    closes = v < 32
+    last = np.cumsum(sizes)[sizes > 0] - 1
+    bad[row[last[~closes[last]]]] = True  # cut off inside a number
+    ends = closes.copy()
+    ends[last] = True
+    stop = np.flatnonzero(ends)
+    start = np.r_[0, stop[:-1] + 1][: len(stop)]
+    shift = 5 * (np.arange(len(v)) - np.repeat(start, stop - start + 1))
+    bad[row[shift > MOST_SHIFT]] = True
+    bits = np.add.reduceat((v & 31) << np.minimum(shift, MOST_SHIFT), start) if len(start) else np.zeros(0, np.int64)
+    delta = np.where(bits & 1, -(bits >> 1) - 1, bits >> 1)
+    owner = row[start]
+    count = np.bincount(owner, minlength=n)
+    bad |= count % 2 == 1
+    good = ~bad[owner]
+    pairs = np.where(bad, 0, count // 2)
+    sums = np.cumsum(delta[good].reshape(-1, 2), axis=0)
+    before = np.r_[np.zeros((1, 2), np.int64), sums][np.cumsum(pairs) - pairs]
+    flat = (sums - np.repeat(before, pairs, axis=0))[:, ::-1] / float(10**precision)  # lat comes first
+    points = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * 2, pa.int32()), pa.array(flat.ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(pairs)], pa.int32()), points, mask=pa.array(bad))
 
 
 def decode_or_null(text: Column, precision: int = 5) -> Column:
     """The positions of an encoded text; null where it is malformed."""
-    chars = F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("acc"), F.lit(0).alias("shift"), F.array().cast("array<bigint>").alias("out"), F.lit(False).alias("bad"))
-
-    def step(s: Column, c: Column) -> Column:
-        v = F.ascii(c).cast("long") - 63
-        wrong = s["bad"] | (v < 0) | (v > 63) | (s["shift"] > 55)
-        safe = F.when(wrong, zero).otherwise(v)
-        acc = s["acc"].bitwiseOR(F.call_function("shiftleft", safe.bitwiseAND(F.lit(31).cast("long")), F.when(wrong, 0).otherwise(s["shift"])))
-        done = safe < 32
-        value = F.when(acc.bitwiseAND(F.lit(1).cast("long")) == 1, -F.shiftright(acc, 1) - 1).otherwise(F.shiftright(acc, 1))
-        return F.struct(F.when(done, zero).otherwise(acc).alias("acc"), F.when(done, 0).otherwise(s["shift"] + 5).alias("shift"), F.when(done, F.concat(s["out"], F.array(value))).otherwise(s["out"]).alias("out"), wrong.alias("bad"))
-
-    def positions(s: Column) -> Column:
-        deltas = s["out"]
-        n = F.size(deltas)
-        pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(0), (n / 2).cast("int") - 1), lambda k: F.array(F.get(deltas, 2 * k), F.get(deltas, 2 * k + 1)))).otherwise(F.array().cast("array<array<bigint>>"))
-        begin = F.struct(zero.alias("y"), zero.alias("x"), F.array().cast("array<array<double>>").alias("ps"))
-        add = lambda t, d: let(F.struct((t["y"] + F.get(d, 0)).alias("y"), (t["x"] + F.get(d, 1)).alias("x")), lambda q: F.struct(q["y"].alias("y"), q["x"].alias("x"), F.concat(t["ps"], F.array(F.array(q["x"] / F.lit(float(10**precision)), q["y"] / F.lit(float(10**precision))))).alias("ps")))
-        return F.when(~s["bad"] & (s["shift"] == 0) & (n % 2 == 0), F.aggregate(pairs, begin, add, lambda t: t["ps"]))
-
-    return F.when(text.isNotNull(), F.aggregate(chars, start, step, positions))
+
+    @F.arrow_udf("array<array<double>>")
+    def run(texts: pa.Array) -> pa.Array:
+        return decode_texts(texts, precision)
+
+    return run(text)
 
 
 def decode(text: Column, precision: int = 5) -> Column:
     """The positions of an encoded text; an error where it is malformed."""
     got = decode_or_null(text, precision)
-    return F.when(text.isNull() | got.isNotNull(), got).otherwise(F.raise_error(F.lit("malformed polyline")).cast("array<array<double>>"))
+    failed = F.raise_error(F.lit("malformed polyline")).cast("array<array<double>>")
+    return F.coalesce(got, F.when(text.isNotNull(), failed))

@@ -1,14 +1,16 @@
 """Readers and writers: GeoJSON, GPX, tile archives."""
 
 import json
+import math
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from geoframe.functions import geometry as G
 from geoframe.functions import measure as M
-from geoframe.sources import geojson, gpx
-from geoframe.sources import pmtiles
+from geoframe.sources import geojson, gpx, pmtiles, polyline
 from geoframe.sources.pmtiles import format as A
 from geoframe.sources.pmtiles.source import coalesce_ranges
 from geoframe.streaming.features import geofence, read_stream
@@ -126,3 +128,45 @@ def test_stream(spark, tmp_path):
     q = geofence(read_stream(spark, str(tmp_path / "in")), M.box(1, 2, 3, 4)).writeStream.format("memory").queryName("fenced").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("fenced").count() == 1
+
+
+def polyline_by_loop(line):
+    text, before = "", (0, 0)
+    for p in line:
+        now = tuple(math.floor(v * 1e5 + 0.5) for v in (p[1], p[0]))
+        for d in (now[0] - before[0], now[1] - before[1]):
+            z = -2 * d - 1 if d < 0 else 2 * d
+            while z >= 32:
+                text, z = text + chr((z & 31) + 95), z >> 5
+            text += chr(z + 63)
+        before = now
+    return text
+
+
+def test_polylines_of_a_batch():
+    rnd = random.Random(1)
+    lines = [[[rnd.uniform(-180, 180), rnd.uniform(-90, 90), 1.0][: rnd.randrange(2, 4)] for _ in range(rnd.randrange(8))] for _ in range(300)]
+    held = pa.array([*lines, None], pa.list_(pa.list_(pa.float64())))
+    texts = polyline.encode_lines(held)
+    assert texts.to_pylist() == [*map(polyline_by_loop, lines), None]
+    for line, got in zip(lines, polyline.decode_texts(texts).to_pylist()):
+        assert len(line) == len(got) and all(abs(a - b) < 6e-6 for p, q in zip(line, got) for a, b in zip(p, q))
+    assert polyline.encode_lines(held.slice(40, 90)).equals(texts.slice(40, 90))
+    assert polyline.decode_texts(texts.slice(40, 90)).to_pylist() == polyline.decode_texts(texts).to_pylist()[40:130]
+    assert polyline.encode_lines(pa.array([[[1.0]], [[None, 1.0]], [[math.nan, 0.0]], [None]], held.type)).null_count == 4
+    assert polyline.decode_texts(pa.array(["", "??", "_p~iF~ps|", "?", "\x01?", "_" * 13 + "??", None])).to_pylist() == [[], [[0.0, 0.0]], *[None] * 5]
+    assert len(polyline.encode_lines(held[:0])) == len(polyline.decode_texts(texts[:0])) == 0
+
+
+def test_features_of_collections(spark, tmp_path):
+    many = '{"type":"Feature","geometry":{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1.0,2.0]},{"type":"LineString","coordinates":[[0.0,0.0],[1.0,1.0]]}]},"properties":{"a":1}}'
+    none = '{"type":"Feature","geometry":null,"properties":null}'
+    bad = ['{"type":"Feature","properties":null}', '{"type":"Feature","geometry":"x"}', '{"type":"Feature","geometry":[]}', '{"type":"Feature","geometry":{}}', '{"type":"Feature","geometry":{"type":"GeometryCollection"}}']
+    bad.append('{"type":"Feature","geometry":{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1]}]}}')
+    df = spark.createDataFrame([(x,) for x in (many, none, *bad)], "j string").coalesce(1)
+    got = [r.f for r in df.select(geojson.feature_or_null(F.col("j")).alias("f")).collect()]
+    assert [g is not None for g in got] == [True, True] + [False] * len(bad)
+    assert [g.type for g in got[0].geometries] == ["Point", "LineString"] and got[0].geometry is None and got[1].geometries is None
+    (tmp_path / "a.json").write_text(many + "\n" + none)
+    geojson.write_lines(geojson.read_lines(spark, str(tmp_path / "a.json")).coalesce(1), str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == [many, none]
