@@ -19,7 +19,24 @@ from .common import map_texts, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
-KEPT_CHUNKS = 100_000
+KEPT_CHUNKS = 200_000
+SHORT = 64  # characters of a chunk that is kept, and merged by scans instead of a heap
+NEVER = float("inf")
+
+
+class Kept(dict):
+    """Values that a function makes of short chunks when first asked for, KEPT_CHUNKS at most."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, chunk: str):
+        got = self.make(chunk)
+        if len(chunk) <= SHORT:
+            if len(self) >= KEPT_CHUNKS:
+                self.clear()
+            self[chunk] = got
+        return got
 
 
 class CharacterMap:
@@ -67,18 +84,20 @@ class Model:
         self.dummy, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         self.pieces = [p.piece for p in proto.pieces]
         self.types = [p.type for p in proto.pieces]
-        self.rank = {p.piece: (-p.score, i) for i, p in enumerate(proto.pieces) if p.type in (NORMAL, UNUSED)}
+        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (NORMAL, UNUSED)}
+        self.order = {p.piece: -p.score for p in proto.pieces if p.type in (NORMAL, UNUSED)}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         self.unknown_text = trainer.unk_surface.encode()
-        if any(SPACE in p.lstrip(SPACE) for p in self.rank):
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             self.chunk = re.compile(r".+", re.S)
-        elif any("\n" in p for p in self.rank if len(p) > 1):
+        elif any("\n" in p for p in self.ids if len(p) > 1):
             self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         else:
             self.chunk = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-        self.kept: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
-        self.digests: dict[str, tuple[int, str, bytes]] = {}
+        self.plain = [p.replace(SPACE, " ").encode() if t in (NORMAL, UNUSED) else None for p, t in zip(self.pieces, self.types)]
+        self.kept = Kept(self.merge)
+        self.digests = Kept(self._digest)
 
     # normalisation
 
@@ -138,18 +157,32 @@ class Model:
 
     # encoding
 
-    def merge(self, chunk: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """Ids of a chunk and the number of its characters that each covers; later bytes cover none."""
+    def _merged(self, chunk: str) -> list[str]:
+        """The pieces of a chunk: the best pair of neighbours is merged, the first of equals, till none is left."""
+        parts, cost = list(chunk), self.order.get
+        costs = [cost(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while costs and (least := min(costs)) < NEVER:
+            k = costs.index(least)
+            parts[k] += parts.pop(k + 1)
+            costs.pop(k)
+            if k < len(costs):
+                costs[k] = cost(parts[k] + parts[k + 1], NEVER)
+            if k:
+                costs[k - 1] = cost(parts[k - 1] + parts[k], NEVER)
+        return parts
+
+    def _merged_long(self, chunk: str) -> list[str]:
+        """The same through a heap of pairs."""
         text: list[str | None] = list(chunk)
-        n, rank = len(text), self.rank
+        n, order = len(text), self.order
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap: list[tuple[float, int, int, str]] = []
 
         def offer(a: int, b: int):
             if a >= 0 and b < n:
                 both = text[a] + text[b]
-                if both in rank:
-                    heapq.heappush(heap, (rank[both][0], a, b, both))
+                if both in order:
+                    heapq.heappush(heap, (order[both], a, b, both))
 
         for k in range(n - 1):
             offer(k, k + 1)
@@ -163,12 +196,15 @@ class Model:
                 left[right[b]] = a
             offer(left[a], a)
             offer(a, right[a])
+        return [x for x in text if x is not None]
+
+    def merge(self, chunk: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """Ids of a chunk and the number of its characters that each covers; later bytes cover none."""
+        parts = self._merged(chunk) if len(chunk) <= SHORT else self._merged_long(chunk)
         ids, spans = [], []
-        for piece in text:
-            if piece is None:
-                continue
-            if piece in rank:
-                ids.append(rank[piece][1])
+        for piece in parts:
+            if piece in self.ids:
+                ids.append(self.ids[piece])
                 spans.append(len(piece))
             elif self.bytes:
                 raw = piece.encode()
@@ -181,20 +217,10 @@ class Model:
                 spans.append(len(piece))
         return tuple(ids), tuple(spans)
 
-    def _chunk(self, chunk: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        got = self.kept.get(chunk)
-        if got is None:
-            if len(self.kept) >= KEPT_CHUNKS:
-                self.kept.clear()
-            got = self.merge(chunk)
-            if len(chunk) <= 64:
-                self.kept[chunk] = got
-        return got
-
     def encode(self, data: bytes) -> list[int]:
         ids: list[int] = []
         for chunk in self.chunk.findall(self.normalise(data)[0]):
-            got = self._chunk(chunk)[0]
+            got = self.kept[chunk][0]
             if not self.bytes and ids and got and ids[-1] == got[0] == self.unknown:
                 got = got[1:]
             ids.extend(got)
@@ -210,7 +236,7 @@ class Model:
         out: list[tuple[int, int, int]] = []
         at, origin = 0, 0  # in bytes of the normalised and of the original text
         for chunk in self.chunk.findall(normal):
-            ids, spans = self._chunk(chunk)
+            ids, spans = self.kept[chunk]
             k = 0
             for piece, n in zip(ids, spans):
                 part = chunk[k : k + n]
@@ -267,30 +293,27 @@ class Model:
         flush()
         return b"".join(out)
 
+    def _digest(self, chunk: str) -> tuple[int, str, bytes]:
+        """Number of ids of a chunk, the ids as text, and their decoding inside a text."""
+        ids = self.merge(chunk)[0]
+        try:
+            plain = b"".join([self.plain[i] for i in ids])
+        except TypeError:  # bytes decode together; another piece before them keeps a leading blank
+            lead = self.ids[SPACE]
+            plain = self.decode([lead, lead, *ids])[2 - (self.dummy or self.squeeze) :]
+        return len(ids), ",".join(map(str, ids)), plain
+
     def digest(self, data: bytes) -> tuple[int, str, str]:
         """Number of ids and SHA-256 of the ids and of their decoding, joined chunk by chunk."""
-        n, ids, texts = 0, [], []
-        digests = self.digests
-        for chunk in self.chunk.findall(self.normalise(data)[0]):
-            got = digests.get(chunk)
-            if got is None:
-                own = self._chunk(chunk)[0]
-                plain = self.decode([self.rank.get("a", (0, 0))[1], *own])[1:] if "a" in self.rank else None
-                got = (len(own), ",".join(map(str, own)), plain)
-                if len(digests) >= KEPT_CHUNKS:
-                    digests.clear()
-                if len(chunk) <= 64:
-                    digests[chunk] = got
-            n += got[0]
-            ids.append(got[1])
-            texts.append(got[2])
-        if not self.bytes or None in texts or self.squeeze:  # pieces or blanks may join across chunks
+        if not self.bytes or SPACE not in self.ids or self.squeeze:  # pieces or blanks may join across chunks
             own = self.encode(data)
             return len(own), sha(",".join(map(str, own)).encode()), sha(self.decode(own))
+        chunks = self.chunk.findall(self.normalise(data)[0])
+        counts, ids, texts = zip(*map(self.digests.__getitem__, chunks)) if chunks else ((), (), ())
         plain = b"".join(texts)
         if self.dummy and plain.startswith(b" "):
             plain = plain[1:]
-        return n, sha(",".join(ids).encode()), sha(plain)
+        return sum(counts), sha(",".join(ids).encode()), sha(plain)
 
 
 def sha(data: bytes) -> str:
