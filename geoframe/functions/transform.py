@@ -102,15 +102,20 @@ def bezier_spline(line: Column, resolution: int = 10000, sharpness: float = 0.85
     controls = F.concat(ends(flat(F.get(line, 0))), inner, ends(flat(F.element_at(line, -1))))
 
     def bezier(t: Column, k: Column, c: Column) -> Column:
-        p0, p3, p1, p2 = F.get(line, k), F.get(line, k + 1), F.get(c, k)["out"], F.get(c, k + 1)["into"]
-        u = 1 - t
-        return F.array(*[u * u * u * f(p0) + 3 * u * u * t * f(p1) + 3 * u * t * t * f(p2) + t * t * t * f(p3) for f in (lon, lat)])
+        ends = F.struct(t.alias("t"), (1 - t).alias("u"), F.get(line, k).alias("p0"), F.get(line, k + 1).alias("p3"), F.get(c, k)["out"].alias("p1"), F.get(c, k + 1)["into"].alias("p2"))
+
+        def curve(x: Column) -> Column:
+            t, u, p0, p1, p2, p3 = (x[name] for name in ("t", "u", "p0", "p1", "p2", "p3"))
+            return F.array(*[u * u * u * f(p0) + 3 * u * u * t * f(p1) + 3 * u * t * t * f(p2) + t * t * t * f(p3) for f in (lon, lat)])
+
+        return let(ends, curve)
 
     def at(c: Column):
         def run(time: Column) -> Column:
-            place = (n - 1) * time.cast("double") / resolution
-            k = F.floor(place).cast("int")
-            return F.when(k >= n - 1, flat(F.element_at(line, -1))).otherwise(bezier(place - k, k, c))
+            def draw(x: Column) -> Column:
+                return F.when(x["k"] >= n - 1, flat(F.element_at(line, -1))).otherwise(bezier(x["place"] - x["k"], x["k"], c))
+
+            return let((n - 1) * time.cast("double") / resolution, lambda place: let(F.struct(place.alias("place"), F.floor(place).cast("int").alias("k")), draw))
 
         return run
 

@@ -358,7 +358,8 @@ def line_slice(spark, d):
 
 @query("bezier_spline")
 def bezier_spline(spark, d):
-    made = lines(spark, d).filter("id % 20 = 0").select("id", X.bezier_spline(F.col("line"), 2000).alias("s"))
+    spread = lines(spark, d).repartition(spark.sparkContext.defaultParallelism)  # few bytes, but much to draw
+    made = spread.select("id", X.bezier_spline(F.col("line")).alias("s"))
     return made.select("id", F.size("s").alias("positions"), F.round(M.line_length(F.col("s")) / 1000, 2).alias("km"))
 
 

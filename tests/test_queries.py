@@ -30,3 +30,8 @@ def test_query(spark, duck, name):
         assert columns == sorted(want.columns)
         order = lambda df: df[columns].astype(object).where(df[columns].notna(), None).sort_values(columns, key=lambda c: c.map(str)).reset_index(drop=True)
         pd.testing.assert_frame_equal(order(got).map(lambda v: float(v) if isinstance(v, (int, float)) else v), order(want).map(lambda v: float(v) if isinstance(v, (int, float)) else v), check_dtype=False)
+
+
+def test_bezier_spline_whole(spark):
+    got = QUERIES["bezier_spline"](spark, DATA).toPandas()
+    assert sorted(got.id) == sorted(pd.read_parquet(f"{DATA}/customer.parquet").c_custkey) and set(got.positions) == {501}
