@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoframe.llm import langid, linededup, mixing, sentencepiece, simhash
+from geoframe.llm import langid, linededup, mixing, neardup, sentencepiece
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """One document of each group of near copies (five-word Jaccard of 0.8 or more) stays, that of the smallest id."""
+    return neardup.keep_one(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
