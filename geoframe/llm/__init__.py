@@ -1,11 +1,4 @@
 """Training-data operators: mixing, filtering, tokenising, searching and deduplicating text corpora.
 
-Nothing else in the library imports this subpackage. Functions that run on executors travel
-by value, so the executors need only the public libraries, not a copy of this package.
+Nothing else in the library imports this subpackage.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_texts, table
+from .common import crc_mod, durable, map_texts, numbered, place, table
 
 BITS = 18
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -18,9 +18,9 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 def features(text: bytes | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Indices and L2-normalised counts of the word unigrams and bigrams of a whole text.
 
-    Words are runs of word characters or of other non-blank characters. A bigram's hash is a
-    function of the difference of its words' hashes, so all immediate repetitions share one
-    index, which lets the model see stuttering texts.
+    Words are runs of word characters or of other non-blank characters. A bigram's hash mixes
+    both words in their order; immediate repetitions of any word also share one index, which
+    lets the model see stuttering texts.
     """
     words = TOKEN.findall((text or b"").decode("utf-8", "replace"))
     if not words:
@@ -30,8 +30,11 @@ def features(text: bytes | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarr
     mult, top = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)
     with np.errstate(over="ignore"):
         one = ((h + np.uint64(1)) * mult) >> top
-        two = ((h[1:] - h[:-1] + np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> top
-    index, count = np.unique(np.concatenate([one, two]), return_counts=True)
+        both = ((h[:-1] + np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ h[1:]
+        both ^= both >> np.uint64(29)
+        two = (both * mult) >> top
+    again = np.zeros(int((h[1:] == h[:-1]).sum()), np.uint64)  # index 0
+    index, count = np.unique(np.concatenate([one, two, again]), return_counts=True)
     return index.astype(np.int32), (count / np.sqrt(np.dot(count, count))).astype(np.float32)
 
 
@@ -57,25 +60,40 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS,
     return weights(np.arange(size + 1)).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 6000, bits: int = BITS) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 6000, max_mb: int = 256, bits: int = BITS, text_col: str = "text") -> np.ndarray:
     """Train on at most ``max_rows`` labelled documents, those of least hashed id.
 
-    The bound is the sample's only one: every chosen text is read whole, and the driver gets
-    hashed features of at most 2^bits entries a row, not texts. Null labels and ids are left
-    out; where an id has several labels the largest counts. No rows: all weights are zero.
+    The sample's bounds are ``max_rows`` and ``max_mb``, the features that the driver takes;
+    where the latter is met first, fewer rows are taken, in the order of the hashes. Every chosen
+    text is read whole, and the driver gets hashed features, not texts. Null labels and ids are
+    left out; where an id has several labels the largest counts, and where it has several texts
+    that of the least hash. Other columns are ignored. No rows: all weights are zero.
     """
-    chosen = (
-        labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    )
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows bounds it
-    made = map_texts(known, lambda: lambda t: tuple(x.tobytes() for x in features(t, bits)), "at binary, x binary")
-    got = made.orderBy("doc_id").limit(max_rows).collect()
-    return train_ftrl([(np.frombuffer(r.at, np.int32), np.frombuffer(r.x, np.float32), r.label) for r in got], bits)
+    told = numbered(labels).select(F.col(f"c{place(labels, 'doc_id')}").alias("doc_id"), F.col(f"c{place(labels, label_col)}").cast("int").alias("label"))
+    chosen = told.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = numbered(docs).select(F.col(f"c{place(docs, 'doc_id')}").alias("doc_id"), F.col(f"c{place(docs, text_col)}").alias("text"))
+    known = rows.join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))  # max_rows bounds it
+    made = durable(map_texts(known, lambda: lambda t: tuple(x.tobytes() for x in features(t, bits)), "at binary, x binary"))
+    sizes = made.groupBy("doc_id").agg(F.min("h").alias("h"), F.max(F.octet_length("at") + F.octet_length("x")).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rest, taken = max_mb * 1_000_000, []
+    for r in sizes:
+        rest -= r["size"]
+        if rest < 0:
+            break
+        taken.append((r.doc_id, r.h))
+    if not taken:
+        return np.zeros((1 << bits) + 1, np.float32)
+    own = docs.sparkSession.createDataFrame(taken, made.select("doc_id", "h").schema)
+    got = {r.doc_id: r for r in made.join(F.broadcast(own), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("doc_id", "label", "at", "x").collect()}
+    return train_ftrl([(np.frombuffer(r.at, np.int32), np.frombuffer(r.x, np.float32), r.label) for _, r in sorted(got.items())], bits)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """Append the probability of label 1; an empty or null text gets that of the bias alone."""
+    """Append the probability of label 1; an empty or null text gets that of the bias alone.
+
+    Repeated rows score alike. The text goes; a column named like the result, in any case, is
+    replaced and all others carried along.
+    """
     bits = (len(weights) - 1).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2^bits floats
 

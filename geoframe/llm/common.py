@@ -1,58 +1,124 @@
-"""What the operators share: reading tables, Arrow batches, durable cuts of lineage."""
+"""What the operators share: reading tables, names of columns, Arrow batches, tables that outlive executors."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-BATCH_ROWS = 512  # texts handed to Python at once; a text may be long
+BATCH_ROWS = 512  # texts handed to a function at once; Spark bounds the bytes of the batch they come in
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# columns
+
+
+def place(df: DataFrame, name: str) -> int:
+    """The place of a column: that of exactly this name, else the first that differs in case only."""
+    names = df.columns
+    if name in names:
+        return names.index(name)
+    low = [c.lower() for c in names]
+    if name.lower() not in low:
+        raise ValueError(f"no column {name}; there are {', '.join(names)}")
+    return low.index(name.lower())
+
+
+def without(df: DataFrame, *names: str) -> list[int]:
+    """Places of the columns whose names differ from all given ones, whatever the case."""
+    gone = {n.lower() for n in names}
+    return [k for k, c in enumerate(df.columns) if c.lower() not in gone]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same rows with columns c0, c1, ..., so that no name clashes with those of an operator."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def renamed(df: DataFrame, like: DataFrame, kept: list[int], *made: str) -> DataFrame:
+    """Columns c<k> of ``kept`` under their names in ``like``, then the made ones."""
+    return df.select(*[f"c{k}" for k in kept], *made).toDF(*[like.columns[k] for k in kept], *made)
+
+
+# tables that are written once and read again
+
+
+class Saved:
+    """A written table: ``df`` reads it, ``drop`` deletes it before the application ends."""
+
+    def __init__(self, df: DataFrame):
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        self.path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        self._at = jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = self._at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._files.deleteOnExit(self._at)
+        df.write.parquet(self.path)
+        self.df = spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        self._files.delete(self._at, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors reach."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if spark.sparkContext.master.startswith("local["):  # one machine: a folder of its own is shared by all
+        spark.conf.set("spark.checkpoint.dir", own := tempfile.mkdtemp(prefix="checkpoint"))
+        return own
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint()
+    """Cut the lineage: the rows as a table in the shared folder, which goes when the application ends."""
+    return Saved(df).df
+
+
+# Python over whole texts
 
 
-def map_texts(df: DataFrame, each: Callable[[], Callable[[bytes], tuple]], columns: str, text_col: str = "text") -> DataFrame:
-    """Append columns that a Python function computes from a whole text.
+def map_texts(df: DataFrame, each: Callable[[], Callable[..., tuple]], columns: str, *text_cols: str) -> DataFrame:
+    """Append columns that a Python function computes from one or more whole texts of a row.
 
     ``each()`` is called once a task and returns the function from UTF-8 bytes (a null text
-    comes as None) to a tuple in the order of ``columns``, a DDL string. Columns of ``df``
-    other than the text are carried along; one that has the name of a result is replaced.
+    comes as None), one argument a text column, to a tuple in the order of ``columns``, a DDL
+    string. The text columns go, ``text`` if none is named. Other columns of ``df`` are carried
+    along, whatever their names; one that has the name of a result, in any case, is replaced.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    made_schema = T.StructType.fromDDL(columns)
-    names, types = made_schema.names, [f.type for f in to_arrow_schema(made_schema)]
-    keep = [c for c in df.columns if c != text_col and c not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary").alias("__text"))
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [columns])
-    n = len(keep)
+    texts = [place(df, c) for c in text_cols or ("text",)]
+    schema = T.StructType.fromDDL(columns)
+    names, types = schema.names, [f.type for f in to_arrow_schema(schema)]
+    kept = [k for k in without(df, *names) if k not in texts]
+    plain = numbered(df)
+    source = plain.select(*[f"c{k}" for k in kept], *[F.col(f"c{k}").cast("binary").alias(f"t{i}") for i, k in enumerate(texts)])
+    out = T.StructType([*source.schema.fields[: len(kept)], *schema.fields])
+    n, held = len(kept), source.columns[: len(kept)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = each()
-        for batch in batches:
-            rows = [call(None if t is None else bytes(t)) for t in batch.column(n).to_pylist()]
-            made = zip(*rows) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(list(x), kind) for x, kind in zip(made, types)]], names=[*keep, *names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                rows = [call(*x) for x in zip(*(c.to_pylist() for c in batch.columns[n:]))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(list(x), kind) for x, kind in zip(zip(*rows), types)]], names=[*held, *names])
 
-    return source.mapInArrow(run, schema)
+    return renamed(source.mapInArrow(run, out), df, kept, *names)
 
 
-def crc_mod(col, n: int):
+def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the decimal text modulo n; -1 where the id is null."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % n, F.lit(-1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import Saved
 
 
 def components(links: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
@@ -16,13 +16,14 @@ def components(links: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     in one task; steps go on until no link changes. No links: an empty table.
     """
     told = links.filter(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
-    edges = durable(told.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
+    held = Saved(told.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
 
     def state(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first())
 
-    now = state(edges)
+    now = state(held.df)
     while now[0]:
+        edges = held.df
         # large star: a key's larger neighbours go to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -30,9 +31,11 @@ def components(links: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
         # small star: a key and its smaller neighbours go to the smallest of them
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
-        edges = durable(small.filter("u <> v").distinct())
-        then, now = now, state(edges)
+        before, held = held, Saved(small.filter("u <> v").distinct())
+        before.drop()
+        then, now = now, state(held.df)
         if then == now:
             break
+    edges = held.df
     roots = edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root"))).distinct()

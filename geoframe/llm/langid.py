@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, crc_mod, map_texts, table
+from .common import BATCH_ROWS, crc_mod, map_texts, numbered, place, table
 
 TOP = 400  # n-grams of a language's profile
 TOP_DOC = 300  # most frequent n-grams of a document
@@ -43,13 +43,12 @@ def ranked(codes: np.ndarray, top: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = TOP) -> DataFrame:
-    """Profiles (lang, code, rank) from all rows whose language is not null.
+    """Profiles (lang, code, rank) from all rows whose language and text are not null.
 
-    Every task sums the counts of its own rows and passes sums on, at least whenever it holds
+    Ties go to the smaller code. Repeated rows count as often as they come; a text without
+    letters adds nothing; an empty table gives no profile; other columns are ignored. Every task sums the counts of its own rows and passes sums on, at least whenever it holds
     FLUSH of them, so neither a frequent language nor a long text gathers in one task.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -59,7 +58,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code), pa.array(n)], names=["lang", "code", "n"])
             sums.clear()
 
-        for batch in batches:
+        for batch in (whole.slice(k, BATCH_ROWS) for whole in batches for k in range(0, whole.num_rows, BATCH_ROWS)):
             by: dict[str, list[np.ndarray]] = {}
             held = 0
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -78,10 +77,11 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top:
                 yield from out()
         yield from out()
 
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
+    known = numbered(docs).select(F.col(f"c{place(docs, lang_col)}").alias("lang"), F.col(f"c{place(docs, text_col)}").cast("binary").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = known.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < top).select("lang", "code", "rank")
+    # The limit stands on the row number itself, so that each task ranks its own rows and passes the first on.
+    return counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top).select("lang", "code", (F.col("place") - 1).alias("rank"))
 
 
 def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", top_doc: int = TOP_DOC) -> DataFrame:
@@ -91,6 +91,8 @@ def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", top_do
     each is out of place in the profile, or the profile's length where it is missing. The score
     is 1 less the least distance over the largest possible one. Ties go to the first language
     by code point. A null text, one without letters and an empty training set give ``und``, 0.
+    Repeated rows are judged alike. The text goes; columns named like a result, in any case, are
+    replaced and all others carried along.
     """
     rows = profiles.collect()  # at most TOP rows a language
     langs = sorted({r.lang for r in rows})

@@ -9,15 +9,16 @@ is found from a histogram of hash prefixes and one of its bins.
 
 from __future__ import annotations
 
-import heapq
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts, table
+from .common import durable, map_texts, numbered, place, renamed, table, without
 
 BIN = 3  # hexadecimal digits of the hash that name a bin
+MOST_SENT = 100_000  # patterns, or sources, whose table is broadcast
 Source = str | None
 
 
@@ -43,56 +44,73 @@ def water_fill(sizes: list[int], weights: list[int], cap: int = 3) -> list[float
 def min_cost_flow(patterns: list[tuple[int, list[int]]], quotas: list[int], repeats: int = 3) -> list[dict[int, int]]:
     """Words that each pattern (capacity, sources) sends to each source.
 
-    Successive shortest paths with potentials. The r-th pass over a pattern costs r*(r-1)/2 a
-    word. As much of the quotas as possible is met, at the least cost.
+    The r-th pass over a pattern costs r*(r-1)/2 a word and nothing else costs, so a path costs
+    what the pass costs that it begins with. The cheapest flow is thus found pass by pass: a
+    largest flow with one pass over each pattern, made larger with two, and so on, each by
+    blocking flows along shortest paths. As much of the quotas as possible is met, at the least
+    cost.
     """
     n, m = len(patterns), len(quotas)
     start, end = n + m, n + m + 1
     head: list[list[int]] = [[] for _ in range(end + 1)]
-    to, room, cost = [], [], []
+    to: list[int] = []
+    room: list[int] = []
 
-    def arc(a: int, b: int, c: int, w: int):
-        for x, y, r, z in ((a, b, c, w), (b, a, 0, -w)):
+    def arc(a: int, b: int, c: int) -> int:
+        for x, y, r in ((a, b, c), (b, a, 0)):
             head[x].append(len(to))
-            to.append(y), room.append(r), cost.append(z)
-
-    for p, (capacity, _) in enumerate(patterns):
-        for r in range(1, repeats + 1):
-            arc(start, p, capacity, r * (r - 1) // 2)
-    routes = []
-    for p, (capacity, sources) in enumerate(patterns):
-        for s in sources:
-            routes.append((p, s, len(to)))
-            arc(p, n + s, repeats * capacity, 0)
+            to.append(y), room.append(r)
+        return len(to) - 2
+
+    passes = [arc(start, p, 0) for p in range(n)]
+    routes = [(p, s, arc(p, n + s, repeats * capacity)) for p, (capacity, sources) in enumerate(patterns) for s in sources]
     for s, quota in enumerate(quotas):
-        arc(n + s, end, quota, 0)
-    potential = [0] * (end + 1)
-    while True:
-        far, via, queue = {start: 0}, {}, [(0, start)]
-        while queue:
-            d, v = heapq.heappop(queue)
-            if d > far[v]:
+        arc(n + s, end, quota)
+
+    def levels() -> list[int]:
+        far, front = [-1] * (end + 1), [start]
+        far[start] = 0
+        while front and far[end] < 0:
+            reached = []
+            for v in front:
+                for e in head[v]:
+                    if room[e] and far[to[e]] < 0:
+                        far[to[e]] = far[v] + 1
+                        reached.append(to[e])
+            front = reached
+        return far
+
+    def block(far: list[int]) -> None:
+        """Fill the paths that go down the levels until each has a full arc."""
+        tried, path, v = [0] * (end + 1), [], start
+        while True:
+            if v == end:
+                least = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= least
+                    room[e ^ 1] += least
+                full = next(k for k, e in enumerate(path) if not room[e])
+                v = to[path[full] ^ 1]
+                del path[full:]
                 continue
-            for e in head[v]:
-                if room[e] > 0 and (w := d + cost[e] + potential[v] - potential[to[e]]) < far.get(to[e], 1 << 62):
-                    far[to[e]] = w
-                    via[to[e]] = e
-                    heapq.heappush(queue, (w, to[e]))
-        if end not in far:
-            break
-        for v, d in far.items():
-            potential[v] += d
-        for v in range(end + 1):  # those out of reach stay at least as far as the rest
-            if v not in far:
-                potential[v] += far[end]
-        path, v = [], end
-        while v != start:
-            path.append(via[v])
-            v = to[via[v] ^ 1]
-        least = min(room[e] for e in path)
-        for e in path:
-            room[e] -= least
-            room[e ^ 1] += least
+            while tried[v] < len(head[v]):
+                e = head[v][tried[v]]
+                if room[e] and far[to[e]] == far[v] + 1:
+                    path.append(e)
+                    v = to[e]
+                    break
+                tried[v] += 1
+            else:
+                if v == start:
+                    return
+                v = to[path.pop() ^ 1]
+                tried[v] += 1
+
+    for _ in range(repeats):
+        for p, e in enumerate(passes):
+            room[e] += patterns[p][0]
+        while (far := levels())[end] >= 0:
+            block(far)
     out: list[dict[int, int]] = [{} for _ in patterns]
     for p, s, e in routes:
         if room[e ^ 1]:
@@ -106,13 +124,45 @@ def cyclic_weights(sources: list[Source]) -> list[int]:
 
 
 def _key(members: Column) -> Column:
-    """A pattern as text: its sources, each once, by code point, null as a minus sign alone."""
-    marked = F.transform(members, lambda s: F.when(s.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), s)))
-    return F.array_join(F.array_sort(F.array_distinct(marked)), "\x1f")
+    """A pattern as JSON text: its sources, each once, by code point, null last."""
+    return F.to_json(F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>")))))
+
+
+def _mix(docs: DataFrame, members: Column, weights: Callable[[list[Source]], list[int]], repeats: int, seed: int, id_col: str, text_col: str, keep_text: bool) -> tuple[DataFrame, list[dict]]:
+    """Columns c<k> of ``docs`` with size and taken, and a dict a source; see ``mix``."""
+    spark = docs.sparkSession
+    rows = numbered(docs.select("*", _key(members)))
+    key, id_, text = f"c{len(docs.columns)}", f"c{place(docs, id_col)}", f"c{place(docs, text_col)}"
+    marked = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))))
+    marked = marked.withColumnRenamed(key, "key").withColumn("bin", F.substring("h", 1, BIN))
+    sized = map_texts(marked.withColumn("words", F.col(text)), lambda: lambda t: (len((t or b"").split()),), "size long", "words")
+    # The texts are read once to size them, and once more where they are asked for.
+    slim = durable(sized.select("key", "h", "bin", "size") if keep_text else sized.drop(text))
+    bins = durable(slim.groupBy("key", "bin").agg(F.sum("size").alias("size")))
+    totals = {r["key"]: r["size"] for r in bins.groupBy("key").agg(F.sum("size").alias("size")).collect()}
+    keys = sorted(totals)
+    held = [json.loads(k) for k in keys]
+    names = sorted({s for x in held for s in x}, key=lambda s: (s is None, (s or "").encode()))
+    at = {s: i for i, s in enumerate(names)}
+    sizes = [0] * len(names)
+    for k, x in zip(keys, held):
+        for s in x:
+            sizes[at[s]] += totals[k]
+    share = sum(totals[k] for k, x in zip(keys, held) if x)
+    targets = water_fill(sizes, weights(names), repeats) if sum(sizes) == share else _scaled(sizes, weights(names), share, repeats)
+    flow = min_cost_flow([(totals[k], [at[s] for s in x]) for k, x in zip(keys, held)], [int(t + 0.5) for t in targets], repeats)
+    wanted = [(k, *divmod(sum(f.values()), totals[k])) if totals[k] else (k, 0, 0) for k, f in zip(keys, flow)]
+    cuts = _cuts(spark, bins, slim, wanted)
+    plan = spark.createDataFrame([(k, full, cuts.get(k, "")) for k, full, _ in wanted], "key string, full long, cut string")
+    out = (sized if keep_text else slim).join(small(plan, len(wanted)), "key", "left")
+    out = out.withColumn("taken", F.col("size") * (F.coalesce("full", F.lit(0)) + F.when(F.col("h") <= F.col("cut"), 1).otherwise(0)))
+    took = [sum(f.get(i, 0) for f in flow) for i in range(len(names))]
+    return out, [{"source": s, "size": sizes[i], "target": targets[i], "taken": took[i]} for i, s in enumerate(names)]
 
 
-def _sources(key: str) -> list[Source]:
-    return [None if x == "-" else x[1:] for x in key.split("\x1f")] if key else []
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast if the table, of a row a pattern, has at most MOST_SENT rows; else joined as Spark sees fit."""
+    return F.broadcast(df) if rows <= MOST_SENT else df
 
 
 def mix(docs: DataFrame, members: Column, weights: Callable[[list[Source]], list[int]] = cyclic_weights, repeats: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[dict]]:
@@ -120,47 +170,18 @@ def mix(docs: DataFrame, members: Column, weights: Callable[[list[Source]], list
 
     ``members`` is an array of the sources that hold a document. Sources go by code point, null
     last, and get weights in that order; the quotas share the words of all documents and none
-    is above ``repeats`` times its source's words. Returns ``docs`` with ``__key``, ``size`` and
-    ``taken`` (a multiple of the size, at most ``repeats`` times it), and one dict a source with
-    its source, size, target and taken words.
+    is above ``repeats`` times its source's words. Returns ``docs`` without the text, with
+    ``size`` and ``taken`` (a multiple of the size, at most ``repeats`` times it), and one dict a
+    source with its source, size, target and taken words.
 
     A null text has no words and is taken 0. A document without sources isn't taken. Rows of
-    equal id and text share a hash and are taken alike. Columns named like a result are
-    replaced. An empty table gives an empty mix. Reruns agree. The driver holds the patterns
+    equal id and text share a hash and are taken alike. Columns named like a result, in any case,
+    are replaced. An empty table gives an empty mix. Reruns agree. The driver holds the patterns
     and sources, not documents.
     """
-    marked = docs.withColumn("__key", _key(members)).withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))))
-    marked = marked.withColumn("__bin", F.substring("__h", 1, BIN))
-
-    def sized(df: DataFrame) -> DataFrame:
-        return map_texts(df.withColumn("__words", F.col(text_col)), lambda: lambda t: (len((t or b"").split()),), "size long", "__words")
-
-    slim = marked.select("__key", "__h", "__bin", text_col)
-    bins = durable(sized(slim).groupBy("__key", "__bin").agg(F.sum("size").alias("size")))
-    totals = {r["__key"]: r["size"] for r in bins.groupBy("__key").agg(F.sum("size").alias("size")).collect()}
-    keys = sorted(totals)
-    names = sorted({s for k in keys for s in _sources(k)}, key=lambda s: (s is None, (s or "").encode()))
-    at = {s: i for i, s in enumerate(names)}
-    sizes = [sum(totals[k] for k in keys if s in _sources(k)) for s in names] if len(names) * len(keys) < 1e6 else _sizes(keys, totals, at)
-    share = sum(totals[k] for k in keys if _sources(k))
-    targets = water_fill(sizes, weights(names), repeats) if sum(sizes) == share else _scaled(sizes, weights(names), share, repeats)
-    flow = min_cost_flow([(totals[k], [at[s] for s in _sources(k)]) for k in keys], [int(t + 0.5) for t in targets], repeats)
-    wanted = [(k, *divmod(sum(f.values()), totals[k])) if totals[k] else (k, 0, 0) for k, f in zip(keys, flow)]
-    cuts = _cuts(docs.sparkSession, bins, lambda df: sized(df), slim, wanted)
-    plan = docs.sparkSession.createDataFrame([(k, full, cuts.get(k, "")) for k, full, _ in wanted], "__key string, __full long, __cut string")
-    out = sized(marked).join(F.broadcast(plan), "__key", "left")  # a row a pattern, from the driver
-    out = out.withColumn("taken", F.col("size") * (F.coalesce("__full", F.lit(0)) + F.when(F.col("__h") <= F.col("__cut"), 1).otherwise(0)))
-    took = [sum(f.get(i, 0) for f in flow) for i in range(len(names))]
-    report = [{"source": s, "size": sizes[i], "target": targets[i], "taken": took[i]} for i, s in enumerate(names)]
-    return out.drop("__h", "__bin", "__full", "__cut"), report
-
-
-def _sizes(keys, totals, at) -> list[int]:
-    out = [0] * len(at)
-    for k in keys:
-        for s in _sources(k):
-            out[at[s]] += totals[k]
-    return out
+    out, report = _mix(docs, members, weights, repeats, seed, id_col, text_col, False)
+    kept = [k for k in without(docs, "size", "taken") if k != place(docs, text_col)]
+    return renamed(out, docs, kept, "size", "taken"), report
 
 
 def _scaled(sizes: list[int], weights: list[int], share: int, cap: int) -> list[float]:
@@ -174,41 +195,38 @@ def _scaled(sizes: list[int], weights: list[int], share: int, cap: int) -> list[
     return out
 
 
-def _cuts(spark: SparkSession, bins: DataFrame, sized, slim: DataFrame, wanted: list[tuple[str, int, int]]) -> dict[str, str]:
+def _cuts(spark: SparkSession, bins: DataFrame, slim: DataFrame, wanted: list[tuple[str, int, int]]) -> dict[str, str]:
     """The last hash that each pattern's remainder takes; the nearest sum of words counts."""
     need = [(k, rest) for k, _, rest in wanted if rest]
     if not need:
         return {}
-    table_ = spark.createDataFrame(need, "__key string, __need long")
-    upto = Window.partitionBy("__key").orderBy("__bin")  # at most 16^BIN rows a pattern
-    edges = bins.join(table_, "__key").withColumn("__upto", F.sum("size").over(upto))
-    edge = edges.filter("__upto >= __need AND __upto - size < __need").select("__key", "__bin", "__need", (F.col("__upto") - F.col("size")).alias("__before"))
-    # The driver holds a row a pattern already, so that many can be broadcast.
-    inside = sized(slim.join(F.broadcast(edge), ["__key", "__bin"])).groupBy("__key", "__need", "__before", "__h").agg(F.sum("size").alias("size"))
-    cum = F.sum("size").over(Window.partitionBy("__key").orderBy("__h"))  # one bin of a pattern
-    placed = inside.withColumn("__upto", F.col("__before") + cum)
-    fits = F.col("__upto") * 2 - F.col("size") <= F.col("__need") * 2
-    got = placed.groupBy("__key").agg(F.max(F.when(fits, F.col("__h"))).alias("cut"), F.min("__h").alias("least")).collect()
+    upto = Window.partitionBy("key").orderBy("bin")  # at most 16^BIN rows a pattern
+    edges = bins.join(small(spark.createDataFrame(need, "key string, need long"), len(need)), "key").withColumn("upto", F.sum("size").over(upto))
+    edge = edges.filter("upto >= need AND upto - size < need").select("key", "bin", "need", (F.col("upto") - F.col("size")).alias("before"))
+    inside = slim.select("key", "bin", "h", "size").join(small(edge, len(need)), ["key", "bin"]).groupBy("key", "need", "before", "h").agg(F.sum("size").alias("size"))
+    cum = F.sum("size").over(Window.partitionBy("key").orderBy("h"))  # one bin of a pattern
+    placed = inside.withColumn("upto", F.col("before") + cum)
+    fits = F.col("upto") * 2 - F.col("size") <= F.col("need") * 2
+    got = placed.groupBy("key").agg(F.max(F.when(fits, F.col("h"))).alias("cut"), F.min("h").alias("least")).collect()
     # Where the bin's first document is too long, the cut lies before it, after all earlier bins.
-    return {r["__key"]: r.cut if r.cut is not None else r.least[:-1] for r in got}
+    return {r["key"]: r.cut if r.cut is not None else r.least[:-1] for r in got}
 
 
-def apply_mix(docs: DataFrame, members: Column, **options) -> DataFrame:
-    """The rows of a mix: each document as often as it is taken; the others go.
+def apply_mix(docs: DataFrame, members: Column, weights: Callable[[list[Source]], list[int]] = cyclic_weights, repeats: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of a mix, with all their columns: each document as often as it is taken; the others go.
 
-    A document without a word is in no mix and goes.
+    A document without a word is in no mix and goes. For the rest see ``mix``.
     """
-    columns = docs.columns
-    out, _ = mix(docs, members, **options)
+    out, _ = _mix(docs, members, weights, repeats, seed, id_col, text_col, True)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return out.filter(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*columns)
+    return renamed(out.filter(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times))), docs, without(docs))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out, report = mix(docs, F.array("source"))
     known = spark.createDataFrame([(r["source"], r["size"], r["target"]) for r in report], "source string, source_size long, target double")
-    joined = out.alias("d").join(known.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")), "left")
+    joined = out.alias("d").join(small(known, len(report)).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")), "left")
     return joined.select("d.doc_id", "d.size", "s.source_size", "s.target", "d.taken")
 
 

@@ -1,9 +1,11 @@
-"""Near copies by the Jaccard similarity of five-word shingles: MinHash candidates, exact confirmation.
-
-Texts with one set of shingles are joined once. Sets that agree in a band of MinHash values are
-candidates; a pair at 0.8 agrees in none of 32 bands of 5 values with probability 3e-6. Groups of
-candidates come together with their sets, each sent once, and only pairs whose exact similarity
-reaches the threshold are linked.
+"""Near copies by the Jaccard similarity of five-word shingles, by SimHash and the rest by bands.
+
+Texts with one set of shingles are joined once. Sets whose SimHash fingerprints differ in 3 bits
+or fewer are candidates: the trie self-join finds them. But two texts at a similarity of 0.8
+differ in 10 of 64 bits on average and in 20 at times, a budget at which the trie prunes nothing.
+So sets that agree in a band of least hashes are candidates as well; a pair at 0.8 agrees in none
+of 32 bands of 5 values with probability 3e-6. Groups of candidates come together with their
+sets, each sent once, and only pairs whose exact similarity reaches the threshold are linked.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts
+from . import simhash
+from .common import durable, map_texts, numbered, place, renamed, without
 from .components import components
 from .simhash import SEED, TO_LOWER, signed
 
@@ -106,34 +109,41 @@ def links(sets: DataFrame, hot: int = HOT) -> DataFrame:
     return placed.mapInArrow(run, "u long, v long")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, budget: int = 3) -> DataFrame:
     """The rows whose id is the smallest of their group of near copies.
 
     A row is told by its id and text, so rows of one id with different texts are judged apart;
     rows that repeat both stay together. Rows with a null id go where their group has a row with
-    an id, and stay otherwise. Texts without words are copies of each other.
+    an id, and stay otherwise. Null texts and texts without words are copies of each other. All
+    columns are carried along, whatever their names. An empty table gives none.
     """
-    key = F.xxhash64(F.col(text_col)).alias("__key")
-    rows = docs.select(F.col(id_col).alias("id"), key, F.col(text_col).alias("text"))
+    id_, text = f"c{place(docs, id_col)}", f"c{place(docs, text_col)}"
+    key = F.xxhash64(F.col(text)).alias("key")
+    rows = numbered(docs).select(F.col(id_).alias("id"), key, F.col(text).alias("text"))
 
     def sign():
         def call(text):
             own = shingles(text)
-            return signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), bands_of(own)
+            return signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), signed(simhash.majority(own)), bands_of(own)
 
         return call
 
-    marked = durable(map_texts(rows, sign, "set long, bands array<long>"))
-    least = durable(marked.groupBy("set").agg(F.min("id").alias("least"), F.min("__key").alias("__key"), F.first("bands").alias("bands")))
+    marked = durable(map_texts(rows, sign, "set long, fp long, bands array<long>"))
+    least = durable(marked.groupBy("set").agg(F.min("id").alias("least"), F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    # Fingerprints that the trie connects are one more band.
+    near = durable(components(simhash.links(least, "fp", budget)).select(F.col("key").alias("fp"), F.col("root").alias("near")))
+    least = least.join(near, "fp", "left").withColumn("bands", F.array_append("bands", F.coalesce("near", "fp"))).drop("near", "fp")
+    least = durable(least)
     keyed = least.select("set", F.posexplode("bands").alias("band", "lead"))
     first = keyed.groupBy("band", "lead").agg(F.min("set").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
     groups = durable(components(keyed.join(first, ["band", "lead"]).select(F.col("set").alias("u"), "v")))
-    asked = durable(least.join(groups, least["set"] == groups["key"]).select("__key", "set", "bands", F.col("root").alias("grp")))
-    texts = rows.select("__key", "text").join(asked, "__key").dropDuplicates(["__key"])
+    asked = durable(least.join(groups, least["set"] == groups["key"]).select(least["key"], "set", "bands", F.col("root").alias("grp")))
+    texts = rows.select("key", "text").join(asked, "key").dropDuplicates(["key"])
     sets = durable(map_texts(texts, lambda: lambda t: (shingles(t).tobytes(),), "shingles binary"))
     linked = durable(components(links(sets, hot)))
     rooted = least.join(linked, least["set"] == linked["key"], "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("kept")), "root").select("set", "kept")
-    gone = durable(marked.join(named, "set").filter("NOT id <=> kept").select(F.col("id").alias("__id"), "__key").distinct())
-    keyed_docs = docs.withColumn("__key", key)
-    return keyed_docs.join(gone, keyed_docs[id_col].eqNullSafe(gone["__id"]) & (keyed_docs["__key"] == gone["__key"]), "left_anti").drop("__key")
+    gone = durable(marked.join(named, "set").filter("NOT id <=> kept").select("id", "key").distinct())
+    all_rows = numbered(docs).withColumn("key", key)
+    left = all_rows.join(gone, all_rows[id_].eqNullSafe(gone["id"]) & (all_rows["key"] == gone["key"]), "left_anti")
+    return renamed(left, docs, without(docs))

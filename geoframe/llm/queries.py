@@ -17,4 +17,4 @@ QUERIES = {
         classifier.op10_quality_classifier,
     )
 }
-ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op4_exact_top_k": topk.OP4_SQL}
+ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op2_url_filters": urls.OP2_SQL, "op4_exact_top_k": topk.OP4_SQL, "op7_quality_rules": quality.OP7_SQL}

@@ -13,9 +13,10 @@ import heapq
 import re
 import struct
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_texts, table
+from .common import map_texts, numbered, place, renamed, table, without
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
@@ -293,27 +294,44 @@ class Model:
         flush()
         return b"".join(out)
 
-    def _digest(self, chunk: str) -> tuple[int, str, bytes]:
-        """Number of ids of a chunk, the ids as text, and their decoding inside a text."""
-        ids = self.merge(chunk)[0]
+    def _digest(self, chunk: str) -> tuple[int, str, bytes, bytes]:
+        """Number of ids of a chunk, the ids as text, their decoding inside a text, and the
+        lengths of their spans, as 32-bit numbers, where the chunk's marks stand for blanks."""
+        ids, spans = self.merge(chunk)
+        wide, k = [], 0
+        for n in spans:
+            wide.append(len(chunk[k : k + n].replace(SPACE, " ").encode()))
+            k += n
+        sizes = np.array(wide, "<u4").tobytes()
         try:
             plain = b"".join([self.plain[i] for i in ids])
         except TypeError:  # bytes decode together; another piece before them keeps a leading blank
             lead = self.ids[SPACE]
             plain = self.decode([lead, lead, *ids])[2 - (self.dummy or self.squeeze) :]
-        return len(ids), ",".join(map(str, ids)), plain
-
-    def digest(self, data: bytes) -> tuple[int, str, str]:
-        """Number of ids and SHA-256 of the ids and of their decoding, joined chunk by chunk."""
-        if not self.bytes or SPACE not in self.ids or self.squeeze:  # pieces or blanks may join across chunks
-            own = self.encode(data)
-            return len(own), sha(",".join(map(str, own)).encode()), sha(self.decode(own))
+        return len(ids), ",".join(map(str, ids)), plain, sizes
+
+    def digest(self, data: bytes) -> tuple[int, str, str, str]:
+        """Number of ids and SHA-256 of the ids, of their decoding and of their spans, joined chunk by chunk."""
+        mark = SPACE if self.escape else " "
+        if not self.bytes or SPACE not in self.ids or self.squeeze or self.map.units or SPACE.encode() in data:
+            own = self.encode_spans(data)  # pieces or blanks may join across chunks, or a mark be no blank
+            ids = [i for i, _, _ in own]
+            return len(ids), sha(",".join(map(str, ids)).encode()), sha(self.decode(ids)), span_digest(np.array([x[1:] for x in own], "<u8").reshape(-1, 2))
         chunks = self.chunk.findall(self.normalise(data)[0])
-        counts, ids, texts = zip(*map(self.digests.__getitem__, chunks)) if chunks else ((), (), ())
+        counts, ids, texts, sizes = zip(*map(self.digests.__getitem__, chunks)) if chunks else ((), (), (), ())
         plain = b"".join(texts)
         if self.dummy and plain.startswith(b" "):
             plain = plain[1:]
-        return sum(counts), sha(",".join(ids).encode()), sha(plain)
+        wide = np.frombuffer(b"".join(sizes), "<u4").astype("<u8")
+        if self.dummy and len(wide):  # the mark that was put before the text covers none of it
+            wide[0] -= len(mark.replace(SPACE, " "))
+        ends = np.cumsum(wide, dtype="<u8")
+        return sum(counts), sha(",".join(ids).encode()), sha(plain), span_digest(np.stack([ends - wide, ends], 1))
+
+
+def span_digest(spans: np.ndarray) -> str:
+    """SHA-256 of the spans (begin, end), one after the other, as 64-bit numbers, the low byte first."""
+    return sha(np.ascontiguousarray(spans, "<u8").tobytes())
 
 
 def sha(data: bytes) -> str:
@@ -356,8 +374,9 @@ def _model(docs: DataFrame, path: str | None):
 def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text") -> DataFrame:
     """Append ``pieces``, an array of (id, begin, end) with byte spans of the original text.
 
-    A null or empty text has no pieces. Repeated rows are encoded alike. The model is read by
-    the driver and sent to the executors, which need no copy of the file.
+    A null or empty text has no pieces. Repeated rows are encoded alike. The text goes; a column
+    named like the result, in any case, is replaced and all others carried along. The model is
+    read by the driver and sent to the executors, which need no copy of the file.
     """
     shared = _model(docs, model_path)
 
@@ -369,7 +388,10 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
 
 
 def decode(df: DataFrame, model_path: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """Append ``decoded``, the text of a column of id arrays; a null array gives the empty text."""
+    """Append ``decoded``, the text of a column of id arrays; a null or empty array gives the empty text.
+
+    All columns are carried along but one named like the result, in any case, which is replaced.
+    """
     from pyspark.sql import functions as F
 
     shared = _model(df, model_path)
@@ -378,19 +400,25 @@ def decode(df: DataFrame, model_path: str | None = None, ids_col: str = "ids") -
         model = Model(shared.value)
         return lambda ids: (model.decode([int(x) for x in ids.split(b",")] if ids else []).decode(),)
 
-    joined = df.withColumn("__ids", F.array_join(F.col(f"`{ids_col}`").cast("array<string>"), ","))
-    return map_texts(joined, each, "decoded string", "__ids")
+    kept, plain = without(df, "decoded"), numbered(df)
+    joined = plain.withColumn("ids", F.array_join(F.col(f"c{place(df, ids_col)}").cast("array<string>"), ","))
+    return renamed(map_texts(joined, each, "decoded string", "ids"), df, kept, "decoded")
 
 
 def digests(docs: DataFrame, model_path: str | None = None, text_col: str = "text") -> DataFrame:
-    """Append n_tokens and the SHA-256 of the ids and of the decoded text; null counts as empty."""
+    """Append n_tokens and the SHA-256 of the ids, of the decoded text and of the pieces' spans.
+
+    The spans are those of ``encode``, in bytes of the original text. A null or empty text has no
+    pieces. Repeated rows have equal digests. The text goes; columns named like a result, in any
+    case, are replaced and all others carried along.
+    """
     shared = _model(docs, model_path)
 
     def each():
         model = Model(shared.value)
         return lambda text: model.digest(text or b"")
 
-    return map_texts(docs, each, "n_tokens long, ids_sha256 string, decoded_sha256 string", text_col)
+    return map_texts(docs, each, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", text_col)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

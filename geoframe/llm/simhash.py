@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts, table
+from .common import durable, map_texts, numbered, place, table
 from .components import components
 
 SEED = 42  # of the shingles' XXH64
@@ -38,7 +38,11 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     digest = xxhash.xxh64_intdigest
     rows = zip(*(words[k:] for k in range(width)))
-    h = np.fromiter((digest(x, SEED) for x in map(b" ".join, rows)), np.uint64, len(words) - width + 1)
+    return majority(np.fromiter((digest(x, SEED) for x in map(b" ".join, rows)), np.uint64, len(words) - width + 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit i is set where over half of the numbers have it."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 14):
         counts += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -191,17 +195,16 @@ def links(fingerprints: DataFrame, fp_col: str = "fp", budget: int = 3, hot: int
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3, width: int = 3) -> DataFrame:
-    """(id, fp long, component_id) of every row.
+    """(id, fp long, component_id) of every row; other columns are ignored.
 
     Fingerprints link at ``budget`` or fewer differing bits; the component is the smallest id
     that is reachable. A null or empty text has fingerprint 0 and is linked like any other. A
     null id is never a component's id; where all are null, so is the component. Repeated rows
     give repeated rows. An empty table gives none.
     """
-    spark = docs.sparkSession
-    marked = durable(map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), lambda: lambda t: (signed(fingerprint(t, width)),), "fp long"))
+    rows = numbered(docs).select(F.col(f"c{place(docs, id_col)}").alias("id"), F.col(f"c{place(docs, text_col)}").alias("text"))
+    marked = durable(map_texts(rows, lambda: lambda t: (signed(fingerprint(t, width)),), "fp long"))
     least = durable(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     linked = durable(components(links(least, budget=budget)))
     rooted = least.join(linked, least.fp == linked.key, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -213,17 +216,6 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows whose id is their component's: one document of each group of near copies.
-
-    Rows that repeat an id are one document and stay together. Rows with a null id go where
-    their group has a row with an id, and stay otherwise.
-    """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = durable(found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct())
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
-
-
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

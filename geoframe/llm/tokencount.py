@@ -95,8 +95,9 @@ def token_counts(docs: DataFrame, starts: set[str], parts: set[str], mark: str =
     """Append n_words, n_tokens and n_unknown.
 
     Words are runs of characters other than ASCII white space. A word that the vocabulary can't
-    spell is one token and one unknown. A null or empty text has none. Columns named like a
-    result are replaced.
+    spell is one token and one unknown. A null or empty text has none; repeated rows count alike.
+    The text goes; columns named like a result, in any case, are replaced and all others carried
+    along.
     """
     shared = docs.sparkSession.sparkContext.broadcast((starts, parts))  # a vocabulary, of fixed size
 

@@ -53,6 +53,23 @@ def test_quality(docs, empty):
     assert set(ablated) == set(quality.POLICIES["v2"]) and all(r.kept_without - r.rejected_alone == kept for r in ablated.values())
 
 
+def test_own_rules_and_ablation(spark):
+    own = (quality.Rule("short", 3, "n_words < 3"), quality.Rule("symbols", 0, "n_symbols > 1"), quality.Rule("lines", 5, "n_lines > 1"))
+    texts = ["one two three", "a ##", "x", None, "a b c ##", "a\nb\nc d", "#\n#"]
+    book = quality.ledger(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), rules=own)
+    fails = [{n for n, bad in (("short", len(w) < 3), ("symbols", (t or "").count("#") > 1), ("lines", "\n" in (t or ""))) if bad} for t in texts for w in [WORD.findall(t or "")]]
+    got = {r.doc_id: r.failures for r in book.collect()}
+    assert got == {k: sum(1 << r.bit for r in own if r.name in f) for k, f in enumerate(fails)}
+    policy = ("short", "symbols")
+    kept = {r.doc_id: r.ok for r in quality.apply_policy(book, policy, "ok", own).collect()}
+    assert kept == {k: not f & set(policy) for k, f in enumerate(fails)}
+    for r in quality.ablate(book, policy, own).collect():
+        cut = [f & set(policy) for f in fails]
+        assert (r.rejected, r.rejected_alone, r.kept_without) == (sum(r.rule in f for f in cut), sum(f == {r.rule} for f in cut), sum(not f - {r.rule} for f in cut))
+    with pytest.raises(KeyError):
+        quality.mask(("unknown",), own)
+
+
 def test_language_id(docs, empty, spark):
     en, de = "the cat and the dog of the house " * 3, "der hund und die katze über das haus " * 3
     train = spark.createDataFrame([(k, (en, de)[k % 2], ("en", "de")[k % 2], None, None) for k in range(20)], SCHEMA)
@@ -66,11 +83,45 @@ def test_language_id(docs, empty, spark):
     assert [counts[("en", c)] for c in order] == list(range(len(order)))
 
 
+def test_plain_language_id(docs):
+    """Profiles, distances and scores by counting n-grams of words."""
+
+    def grams(text):
+        low = "".join(c if c.isalpha() else " " for c in text.lower())
+        for w in low.split():
+            w = f" {w} "
+            yield from w[1:-1]
+            yield from (w[k : k + 2] for k in range(len(w) - 1))
+            yield from (w[k : k + 3] for k in range(len(w) - 2))
+
+    def in_order(counts, top):  # ties by the code of the n-gram
+        code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][:top]
+
+    rows = docs.collect()
+    profiles = {}
+    for lang in sorted({r.lang for r in rows} - {None}):
+        counts = collections.Counter(g for r in rows if r.lang == lang for g in grams(r.text or ""))
+        profiles[lang] = {g: k for k, g in enumerate(in_order(counts, 60))}
+    worst = max(len(p) for p in profiles.values())
+    made = langid.predict(docs.withColumn("t", F.col("text")), langid.train(docs, top=60), top_doc=40)
+    for r in made.collect():
+        own = in_order(collections.Counter(grams(r.t or "")), 40)
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        off = {lang: sum(min(worst, abs(p[g] - k)) if g in p else worst for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(off, key=lambda x: (off[x], x))
+        assert r.lang_pred == best and r.score == pytest.approx(1 - off[best] / (worst * len(own)))
+
+
 def test_sentencepiece(docs, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=sp.default_model())
     for r in sp.digests(docs.withColumn("t", F.col("text"))).collect():
         ids = library.encode(r.t or "")
+        spans = np.array([(p.begin, p.end) for p in library.encode(r.t or "", return_type="proto").pieces], "<u8")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sp.sha(",".join(map(str, ids)).encode()), sp.sha(library.decode(ids).encode()))
+        assert r.spans_sha256 == sp.sha(spans.tobytes())
     rows = sp.encode(docs.withColumn("t", F.col("text")))
     for r in rows.collect():
         pieces = library.encode(r.t or "", return_type="proto").pieces
@@ -113,10 +164,23 @@ def test_token_counts(docs, empty):
         assert (automaton.count(tokencount.MARK + w) or 1) == count(w), w
     for r in tokencount.token_counts(docs.withColumn("t", F.col("text")), starts, parts).collect():
         w = WORD.findall(r.t or "")
-        assert r.n_words == len(w) and (len(r.t or "") > 9000 or r.n_tokens == sum(map(count, w)))
+        assert r.n_words == len(w) and r.n_tokens == sum(greedy(tokencount.MARK + x, starts, parts) or 1 for x in w)
+    for word in ("a" * 20000, "internationalization" * 400, "ab" * 3000 + "\x01"):
+        assert automaton.count(tokencount.MARK + word) == greedy(tokencount.MARK + word, starts, parts)
     assert tokencount.token_counts(empty, starts, parts).count() == 0
 
 
+def greedy(word, starts, parts):
+    """Number of pieces by trying every length from the longest down; 0 where none fits."""
+    at, n, pool, most = 0, 0, starts, max(map(len, starts | parts))
+    while at < len(word):
+        size = next((k for k in range(min(most, len(word) - at), 0, -1) if word[at : at + k] in pool), 0)
+        if not size:
+            return 0
+        at, n, pool = at + size, n + 1, parts
+    return n
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_small_vocabularies(seed):
     random.seed(seed)
@@ -126,37 +190,45 @@ def test_small_vocabularies(seed):
         automaton = tokencount.Automaton(starts, parts)
         for _ in range(20):
             word = "".join(random.choice("abc") for _ in range(random.randint(1, 9)))
-            rest, n, pool = word, 0, starts
-            while rest:
-                hit = next((rest[:k] for k in range(len(rest), 0, -1) if rest[:k] in pool), None)
-                if hit is None:
-                    n = 0
-                    break
-                rest, n, pool = rest[len(hit) :], n + 1, parts
-            assert automaton.count(word) == n, (starts, parts, word)
+            assert automaton.count(word) == greedy(word, starts, parts), (starts, parts, word)
 
 
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 8)))] + [(300 + k, [0.25] * 8) for k in range(120)]
-    rows += [(900, None), (901, [float("nan")] * 8), (902, [None] * 8), (None, [1.0] * 8), (7, [0.5] * 8), (903, [1.0, 2.0]), (904, [])]
-    df = spark.createDataFrame(rows, "vec_id long, e array<float>").select("vec_id", topk.quantised(F.col("e")).alias("weights"), F.lit(1).alias("rank"))
-    got = collections.defaultdict(list)
-    for r in topk.top_k(df, df.filter("vec_id % 10 = 0"), 5, shard=64).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    good = [(i, w) for i, w in ((r.vec_id, r.weights) for r in df.collect()) if i is not None and w is not None]
-    for q, own in good:
+    rows += [(900, None), (901, [float("nan")] * 8), (902, [None] * 8), (None, [1.0] * 8), (7, [0.5] * 8), (10, [0.5] * 8), (10, [0.5] * 8), (903, [1.0, 2.0]), (904, [])]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "own long, vec_id long, e array<float>").select("own", "vec_id", topk.quantised(F.col("e")).alias("weights"), F.lit(1).alias("rank"), F.lit(1).alias("ROWS"), F.lit(1).alias("a.b"))
+    asked = df.filter("vec_id % 10 = 0")
+    got = collections.Counter()
+    for r in topk.top_k(df, asked, 5, own_col="own", shard=64).collect():
+        got[(r.query_id, r["rank"], r.vec_id, r.score)] += 1
+    good = [(r.own, r.vec_id, r.weights) for r in df.collect() if r.vec_id is not None and r.weights is not None]
+    want = collections.Counter()
+    for own, q, w in good:
         if q % 10 == 0:
-            best = sorted((-sum(a * b for a, b in zip(own, w)), i) for i, w in good if i != q)[:5]
-            assert got[q] == [(i, -s) for s, i in best]
-    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+            best = sorted((-sum(int(a) * int(b) for a, b in zip(w, v)), i) for o, i, v in good if o != own)[:5]
+            want.update((q, n, i, -s) for n, (s, i) in enumerate(best, 1))
+    assert got == want and len({q for q, *_ in got}) == 42
+    assert topk.top_k(df, asked, 1).filter("query_id = vec_id").count() > 0  # without keys a row meets itself
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
+
+
+def test_scores_beyond_a_long(spark):
+    rows = [(0, [1e30, 0.0]), (1, [1e30, 1.0]), (2, [-1e30, 0.0]), (3, [3e4, 3e4]), (4, [2e15, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, e array<double>").select(F.col("vec_id"), F.col("vec_id").alias("own"), topk.quantised(F.col("e")).alias("weights"))
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(df, df, own_col="own").collect()}
+    whole = {r.vec_id: [int(x) for x in r.weights] for r in df.collect()}
+    assert got == {(a, b): max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(whole[a], whole[b])))) for a in whole for b in whole if a != b}
 
 
 def test_blocks_are_pruned():
     rng = np.random.default_rng(1)
     docs = np.concatenate([rng.integers(-10, 10, (2000, 8)), rng.integers(500, 900, (100, 8))])
-    _, _, seen = topk.search_shard(np.array([-1]), np.full((1, 8), 3), np.arange(2100), docs, 10, 100)
+    q, ids = np.full((1, 8), 3.0), np.arange(2100)
+    scores, _, seen = topk.search_shard(np.array([-1]), q, ids, ids, docs.astype(float), 10, 100)
     assert seen < 500
+    _, found, seen = topk.search_shard(np.array([-1]), q, ids[:2000], ids[:2000], docs[:2000].astype(float), 10, 100, floor=scores[:, -1])
+    assert not seen and (found == topk.HIGH).all()  # no block reaches the score to beat
 
 
 def test_mixing(docs, empty):
@@ -174,6 +246,26 @@ def test_mixing(docs, empty):
     assert chosen.columns == docs.columns and chosen.count() == sum(r.taken // r["size"] for r in rows if r["size"])
 
 
+def test_overlapping_sources(spark):
+    random.seed(4)
+    names = ["a", "b", "p\x1fq", None, "-"]
+    rows = [(k, "w " * random.randint(1, 9), random.sample(names, random.randint(0, 3))) for k in range(400)] + [(400, None, ["a"]), (401, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held array<string>")
+    out, report = mixing.mix(docs, F.col("held"))
+    taken = {r.doc_id: (r["size"], r.taken) for r in out.collect()}
+    assert [x["source"] for x in report] == sorted((n for n in names if n is not None), key=str.encode) + [None]
+    assert all(t % s == 0 and t <= 3 * s if s else t == 0 for s, t in taken.values()) and all(taken[k][1] == 0 for k, _, h in rows if not h)
+    by = collections.defaultdict(list)
+    for k, _, held in rows:
+        by[frozenset(held or ())].append(taken[k])
+    for x in report:  # sizes count every holder; the words of all quotas are there once
+        assert x["size"] == sum(s for held, own in by.items() if x["source"] in held for s, _ in own)
+    assert sum(x["target"] for x in report) <= sum(s for held, own in by.items() if held for s, _ in own) + 1e-6
+    flow = mixing.min_cost_flow([(sum(s for s, _ in own), [[r["source"] for r in report].index(n) for n in held]) for held, own in by.items()], [int(x["target"] + 0.5) for x in report])
+    assert sum(x["taken"] for x in report) == sum(sum(f.values()) for f in flow)
+    assert abs(sum(t for _, t in taken.values()) - sum(x["taken"] for x in report)) <= 9 * len(by)
+
+
 def test_water_fill_and_flow():
     assert mixing.water_fill([10, 10, 10], [1, 2, 3]) == [5, 10, 15]
     t = mixing.water_fill([1, 100, 100], [1, 1, 1])
@@ -200,7 +292,7 @@ def test_water_fill_and_flow():
 
 
 def test_urls(spark):
-    given = [None, "", "no scheme", "http://EXAMPLE.com/en/7x?q#f", "https://a.example.com/en/6", "ftp://net/de/1", "http://example.net/de/81", "http://x.example.net/de/7", "http://notorg/es/", "http://org/es/", "http://a://b/c", "http://h?x/y", "HTTP://Ä.ORG/es/1"]
+    given = [None, "", "no scheme", "http://EXAMPLE.com/en/7x?q#f", "https://a.example.com/en/6", "ftp://net/de/1", "http://example.net/de/81", "http://x.example.net/de/7", "http://notorg/es/", "http://org/es/", "http://a://b/c", "http://h?x/y", "HTTP://Ä.ORG/es/1", "http://x\x00\x01\x00/\x00?q\n#\n", "://", "a://b\nc/en/7"]
     df = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(given)], "page_id long, url string, rule string")
     got = {r.page_id: r for r in urls.judge(df, [(("q:q", "s:http"), 1.0)]).collect()}
     for k, u in enumerate(given):
@@ -217,11 +309,41 @@ def test_urls(spark):
 
 
 def test_mined_rules(spark):
-    rows = [(["h:spam", "h:com"], 1)] * 30 + [(["h:good", "h:com"], 0)] * 60 + [(["h:few"], 1)] * 3
+    rows = [(["h:spam", "h:com"], 1)] * 30 + [(["h:good", "h:com"], 0)] * 60 + [(["h:few"], 1)] * 3 + [(None, 1), (["h:good"], None)]
     rules = urls.mine(spark.createDataFrame(rows, "tokens array<string>, label int"))
     assert rules == [(("h:spam",), 1.0)] and urls.mine(spark.createDataFrame([], "tokens array<string>, label int")) == []
     pages = spark.createDataFrame([(1, "http://spam.com/"), (2, "http://good.com/")], "page_id long, url string")
-    assert {r.page_id: r.verdict for r in urls.judge(pages, rules, ()).collect()} == {1: "block", 2: "allow"}
+    assert {r.page_id: (r.verdict, r.mined) for r in urls.judge(pages, rules, ()).collect()} == {1: ("block", ["h:spam"]), 2: ("allow", None)}
+
+
+def test_whole_url_filter(spark):
+    """Labels, mined sets, pruning and verdicts against every set of tokens of every labelled URL."""
+    random.seed(6)
+    given = [f"http{random.choice(['', 's'])}://{random.choice(['', 'm.'])}{random.choice(['bets', 'news', 'shop'])}.example.{random.choice(['com', 'net', 'org'])}/{random.choice(['en', 'de', 'es', 'fr'])}/{random.choice(['7', '8', '91'])}{random.choice(['', '/casino/win.html', '?ref=x', '#top'])}" for _ in range(700)]
+    given += [None, "", "no url", "http://org/es/"]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(given)], "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(pages, urls.mine(urls.label_urls(pages))).collect()}
+    ruled = {k: r for k, r in got.items() if r.rule is not None}
+    sets = collections.defaultdict(lambda: [0, 0])
+    for k, r in ruled.items():
+        own = urls.tokens(given[k])
+        for m in range(1, 1 << len(own)):
+            sets[frozenset(t for i, t in enumerate(own) if m >> i & 1)][r.verdict == "block"] += 1
+    least = max(20, 0.01 * len(ruled))
+    sure = {x: b / (a + b) for x, (a, b) in sets.items() if b >= least and b / (a + b) >= 0.95}
+    minimal = {x: c for x, c in sure.items() if not any(y < x and d >= c for y, d in sure.items())}
+    assert minimal
+    for k, r in got.items():
+        if k not in ruled:
+            own = set(urls.tokens(given[k] or ""))
+            hits = sorted((-c, len(x), tuple(sorted(x))) for x, c in minimal.items() if x <= own)
+            assert (r.verdict, r.mined) == (("block", list(hits[0][2])) if hits else ("allow", None))
+    assert sum(r.mined is not None for r in got.values()) > 10
+
+
+def test_tokens_of_a_url():
+    assert urls.tokens("HTTP://A.b/x/Y-1.html?K=v&z#F") == ["f:f", "h:a", "h:b", "p:1", "p:html", "p:x", "p:y", "q:k", "q:k=v", "q:z", "s:http"]
+    assert urls.tokens("") == urls.tokens("a/b") == [] and urls.tokens("://") == ["s:"]
 
 
 def plain_removed(rows, min_words):
@@ -255,6 +377,47 @@ def test_line_dedup(docs, empty):
     assert linededup.remove_repeated_lines(docs).count() == docs.count() and linededup.remove_repeated_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_long_runs(spark, seed):
+    """Runs far longer than the threshold, runs of one line, copies of whole texts, over few distinct lines."""
+    random.seed(seed)
+    some = [f"w{k} " * random.randint(1, 3) for k in range(3)]
+    block = [random.choice(some) for _ in range(40)]
+    rows = []
+    for d in range(30):
+        own = [random.choice(some) for _ in range(random.randint(0, 6))]
+        if random.random() < 0.6:
+            at = random.randint(0, 30)
+            own += block[at : at + random.randint(1, 40)]
+        if random.random() < 0.2:
+            own += [some[0]] * random.randint(1, 30)
+        if random.random() < 0.5:
+            own.insert(random.randint(0, len(own)), f"once{d}")
+        rows.append((d, "\n".join(own)))
+    rows += [(30, rows[4][1]), (31, rows[4][1])]
+    want = plain_removed(rows, 9)
+    made = linededup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_words=9)
+    assert {r.doc_id: r.n_removed for r in made.collect()} == {k: n for (k, _), n in want.items()} and sum(want.values()) > 100
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_intervals_by_slices(spark, seed):
+    """A suffix array cut into slices gives each suffix the longest run with an earlier place."""
+    random.seed(seed)
+    text = [random.choice("ab") for _ in range(150)] + ["b"] * 40
+    order = sorted(range(len(text)), key=lambda k: text[k:])
+
+    def common(i, j):
+        n = 0
+        while max(i, j) + n < len(text) and text[i + n] == text[j + n]:
+            n += 1
+        return n
+
+    rows = [(r, k, 0, 1, common(order[r - 1], k) if r else 0) for r, k in enumerate(order)]
+    got = {r.pos: r.depth for r in linededup.repeated_before(spark.createDataFrame(rows, "rank long, pos long, d long, n int, lcp long"), ends=seed * 40 + 30).collect()}
+    assert got == {k: max([common(k, j) for j in range(k)], default=0) for k in range(len(text))}
+
+
 def test_trie_join():
     rng = np.random.default_rng(2)
     centre = rng.integers(0, 1 << 62, 6).astype(np.uint64)
@@ -320,8 +483,17 @@ def test_near_duplicates(docs, empty):
     assert len(rows) == docs.count() and simhash.near_duplicates(empty).count() == 0
     by = _groups([(r.doc_id, r.fp, r.component_id) for r in rows], lambda x: x[2])
     assert all(min(i for i, _, _ in g if i is not None) == next(iter(g))[2] for g in by)
-    kept = simhash.keep_one(docs)
-    assert {r.doc_id for r in kept.select("doc_id").distinct().collect()} == {r.component_id for r in rows}
+    root = {t: t for t in {r.fp for r in rows}}
+    for a in sorted(root):  # components by all pairs
+        for b in sorted(root):
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    least = {}
+    for r in rows:
+        if r.doc_id is not None:
+            least[root[r.fp]] = min(least.get(root[r.fp], r.doc_id), r.doc_id)
+    assert all(r.component_id == least[root[r.fp]] for r in rows)
 
 
 def test_classifier(docs, empty, spark):
@@ -334,4 +506,39 @@ def test_classifier(docs, empty, spark):
     assert classifier.score(docs, weights).count() == docs.count() and classifier.score(empty, weights).count() == 0
     assert not classifier.fit(empty, labels).any()
     index, value = classifier.features(b"word word word word")
-    assert len(index) == 2 and np.dot(value, value) == pytest.approx(1)
+    assert len(index) == 3 and np.dot(value, value) == pytest.approx(1)
+    assert set(classifier.features(b"a b")[0]) != set(classifier.features(b"b a")[0])
+
+
+def test_plain_classifier(docs, spark):
+    """Training and scoring against loops over numbers."""
+    rows = [(*classifier.features(t.encode(), 10), k % 2) for k, t in enumerate([r.text for r in docs.collect() if r.text][:40])]
+    alpha, beta, l1, l2, z, n = 0.5, 1.0, 0.001, 0.1, collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(4):
+        for k in order.permutation(len(rows)):
+            index, value, label = rows[k]
+            x = {int(i): float(v) for i, v in zip(index, value)} | {1 << 10: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - label) * x[i]
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    got = classifier.train_ftrl(rows, 10)
+    assert got == pytest.approx([weight(i) for i in range((1 << 10) + 1)], abs=1e-4)
+    for r in classifier.score(docs.withColumn("t", F.col("text")), got).collect():
+        index, value = classifier.features(None if r.t is None else r.t.encode(), 10)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-sum(float(got[i]) * float(v) for i, v in zip(index, value)) - float(got[-1]))), abs=1e-6)
+
+
+def test_classifier_samples(spark):
+    docs = spark.createDataFrame([(k, f"a b {k}") for k in range(30)] + [(3, "other"), (3, "again"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality int")
+    one = classifier.fit(docs, labels, bits=8)
+    assert (one == classifier.fit(docs.repartition(7), labels.repartition(2), bits=8)).all()  # of several texts always the same
+    assert not classifier.fit(docs, labels, max_mb=0, bits=8).any()
