@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geometry import let
+
 MAX_ZOOM = 31
 
 
@@ -37,17 +39,17 @@ def tile_id(z: Column, x: Column, y: Column) -> Column:
 
 
 def tile_zoom(id_: Column) -> Column:
-    return F.size(F.filter(F.sequence(F.lit(0), F.lit(MAX_ZOOM)), lambda z: zoom_start(z) <= id_)) - 1
+    """The zoom of a valid id, from the number of bits of 3 * id + 1."""
+    last = (4**MAX_ZOOM - 1) // 3
+    bits = F.length(F.bin(F.least(id_, F.lit(last - 1)) * 3 + 1))
+    return F.when(id_ >= last, MAX_ZOOM).otherwise(F.floor((bits - 1) / 2)).cast("int")
 
 
 def tile_zxy(id_: Column) -> Column:
-    """A struct of z, x and y; the inverse of tile_id."""
-    from .geometry import let
-
-    id_ = id_.cast("long")
-    start = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    """A struct of z, x and y; the inverse of tile_id. Null for null, an error for an id beyond zoom 31."""
+    kind = "struct<z:int,x:bigint,y:bigint>"
 
-    def at(z: Column) -> Column:
+    def walk(v: Column) -> Column:
         def step(s: Column, k: Column) -> Column:
             t, scale = s["t"], _two(k)
             rx = F.shiftright(t, 1).bitwiseAND(F.lit(1).cast("long"))
@@ -56,9 +58,14 @@ def tile_zxy(id_: Column) -> Column:
             nx, ny = F.when(ry == 0, fy).otherwise(s["x"]), F.when(ry == 0, fx).otherwise(s["y"])
             return F.struct((nx + scale * rx).alias("x"), (ny + scale * ry).alias("y"), F.shiftright(t, 2).alias("t"))
 
-        begin = F.struct(start["x"].alias("x"), start["y"].alias("y"), (id_ - zoom_start(z)).alias("t"))
-        steps = F.when(z > 0, F.sequence(F.lit(0), z - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, begin, step, lambda s: F.struct(z.alias("z"), s["x"].alias("x"), s["y"].alias("y")))
+        zero = F.lit(0).cast("long")
+        begin = F.struct(zero.alias("x"), zero.alias("y"), (v["id"] - zoom_start(v["z"])).alias("t"))
+        steps = F.when(v["z"] > 0, F.sequence(F.lit(0), v["z"] - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, begin, step, lambda s: F.struct(v["z"].alias("z"), s["x"].alias("x"), s["y"].alias("y")))
+
+    def checked(x: Column) -> Column:
+        valid = (x >= 0) & (x < F.lit((4 ** (MAX_ZOOM + 1) - 1) // 3))
+        found = let(F.struct(x.alias("id"), tile_zoom(x).alias("z")), walk)
+        return F.when(valid, found).otherwise(F.when(x.isNotNull(), F.raise_error(F.lit("no such tile")).cast(kind)))
 
-    valid = (id_ >= 0) & (id_ < F.lit((4**32 - 1) // 3))
-    return F.when(valid, let(tile_zoom(id_), at)).otherwise(F.when(id_.isNotNull(), F.raise_error(F.lit("no such tile")).cast("struct<z:int,x:bigint,y:bigint>")))
+    return let(id_.cast("long"), checked)  # bound once, as an id may be a long expression

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sphere
 from .geometry import lat, let, line_string, lon, make, num, polygon, position
 from .measure import RADIUS, destination, distance, east, north, positions_bbox, south, west
 
@@ -19,64 +20,90 @@ DEGREE = RADIUS * math.pi / 180  # metres of a degree
 # simplification
 
 
-def _segment_gap(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of positions to a segment, in the plane of degrees."""
+def _segment_gaps(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of positions to segments, row by row, in the plane of degrees."""
     d = b - a
-    whole = float(d @ d)
-    t = np.clip(((p - a) @ d) / whole, 0, 1) if whole else np.zeros(len(p))
+    whole = (d * d).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(whole > 0, np.clip(((p - a) * d).sum(1) / whole, 0, 1), 0.0)
     gap = p - (a + t[:, None] * d)
     return (gap * gap).sum(1)
 
 
+def _thinned(xy: np.ndarray, sizes: np.ndarray, limit: float) -> np.ndarray:
+    """Whether a position stays: the first, those beyond the limit from the last that stays, and the end."""
+    stay = np.zeros(len(xy), bool)
+    first, end = sphere.starts(sizes), sphere.starts(sizes) + sizes - 1
+    live = np.flatnonzero(sizes > 0)
+    last, k = first[live], 0
+    stay[last] = True
+    while len(live):  # all lines go on by a position at once
+        k += 1
+        on = sizes[live] > k
+        live, last = live[on], last[on]
+        here = first[live] + k
+        gap = xy[here] - xy[last]
+        far = (gap * gap).sum(1) > limit
+        stay[here[far]] = True
+        last = np.where(far, here, last)
+    stay[end[sizes > 0]] = True
+    return stay
+
+
+def simplified(xy: np.ndarray, sizes: np.ndarray, tolerance: float = 1.0, highest_quality: bool = False) -> np.ndarray:
+    """Whether each position of many lines stays. Radial thinning, unless of highest quality, then Douglas-Peucker.
+
+    All lines are split at once, a level of the recursion a step. Lines of two positions or fewer stay.
+    """
+    limit = tolerance * tolerance
+    short = np.repeat(sizes <= 2, sizes)
+    kept = np.flatnonzero(short | (np.ones(len(xy), bool) if highest_quality else _thinned(xy, sizes, limit)))
+    own = xy[kept]
+    row = sphere.owners(sizes)[kept]
+    new = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+    a = np.flatnonzero(new)
+    b = np.r_[a[1:], len(kept)] - 1 if len(a) else a
+    stay = short[kept]
+    stay[a] = stay[b] = True
+    while True:
+        wide = b - a > 1
+        a, b = a[wide], b[wide]
+        if not len(a):
+            break
+        inner = b - a - 1
+        segment, begin = sphere.owners(inner), sphere.starts(inner)
+        at = a[segment] + 1 + np.arange(len(segment)) - begin[segment]
+        gaps = _segment_gaps(own[at], own[a[segment]], own[b[segment]])
+        most = np.maximum.reduceat(gaps, begin)
+        hit = np.flatnonzero(gaps == most[segment])
+        _, one = np.unique(segment[hit], return_index=True)  # the first of equals
+        far = at[hit[one]]
+        split = most > limit
+        a, b, far = a[split], b[split], far[split]
+        stay[far] = True
+        a, b = np.r_[a, far], np.r_[far, b]
+    out = np.zeros(len(xy), bool)
+    out[kept[stay]] = True
+    return out
+
+
 def simplify_positions(line: np.ndarray, tolerance: float = 1.0, highest_quality: bool = False) -> np.ndarray:
-    """Places of the positions that stay. Radial thinning, unless of highest quality, then Douglas-Peucker."""
-    n = len(line)
-    if n <= 2:
-        return np.arange(n)
-    limit, flat = tolerance * tolerance, line[:, :2]
-    kept = np.arange(n)
-    if not highest_quality:
-        out = [0]
-        for k in range(1, n):
-            gap = flat[k] - flat[out[-1]]
-            if gap @ gap > limit:
-                out.append(k)
-        if out[-1] != n - 1:
-            out.append(n - 1)
-        kept = np.array(out)
-    own = flat[kept]
-    stay = np.zeros(len(kept), bool)
-    stay[[0, -1]] = True
-    work = [(0, len(kept) - 1)]
-    while work:
-        a, b = work.pop()
-        if b - a < 2:
-            continue
-        gaps = _segment_gap(own[a + 1 : b], own[a], own[b])
-        far = int(np.argmax(gaps))
-        if gaps[far] > limit:
-            stay[a + 1 + far] = True
-            work += [(a, a + 1 + far), (a + 1 + far, b)]
-    return kept[stay]
+    """Places of the positions of one line that stay."""
+    return np.flatnonzero(simplified(line[:, :2], np.array([len(line)]), tolerance, highest_quality))
 
 
 def simplify(line: Column, tolerance: float | None = None, highest_quality: bool = False) -> Column:
-    """A line with fewer positions. Recursive, hence an Arrow UDF."""
+    """A line with fewer positions, which keep all their axes; null for null. Recursive, hence an Arrow function."""
     limit = 1.0 if tolerance is None else float(tolerance)
 
-    @F.pandas_udf(POSITIONS)
-    def run(lines: pd.Series) -> pd.Series:
-        def one(positions):
-            if positions is None:
-                return None
-            rows = [np.asarray(p, float) for p in positions]
-            if len(rows) <= 2:
-                return [p.tolist() for p in rows]
-            return [rows[k].tolist() for k in simplify_positions(np.array([p[:2] for p in rows]), limit, highest_quality)]
-
-        return lines.map(one)
+    @F.arrow_udf(POSITIONS)
+    def run(lines: pa.Array) -> pa.Array:
+        sizes, positions = sphere.counts(lines), lines.flatten()
+        keep = simplified(sphere.lonlats(positions), sizes, limit, highest_quality)
+        left = np.bincount(sphere.owners(sizes)[keep], minlength=len(sizes)) if len(keep) else sizes
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(left)], pa.int32()), positions.filter(pa.array(keep)), mask=lines.is_null())
 
-    return run(line)
+    return run(line.cast(POSITIONS))
 
 
 # splines

@@ -12,10 +12,14 @@ from .join import CELL, boxes_intersect
 
 
 class SpatialIndex:
-    """An immutable collection of rows with a geometry; each change gives a new one."""
+    """An immutable collection of rows with a geometry; each change gives a new one.
 
-    def __init__(self, df: DataFrame, geometry: str = "geometry", bbox: str = "bbox"):
-        self.geometry, self.bbox = geometry, bbox
+    ``clustered`` says that the rows have their boxes as columns west, south, east and north too,
+    as ``clustered`` writes them; a search then filters those, which a scan can prune by.
+    """
+
+    def __init__(self, df: DataFrame, geometry: str = "geometry", bbox: str = "bbox", clustered: bool = False):
+        self.geometry, self.bbox, self.flat = geometry, bbox, clustered
         own = F.col(bbox) if bbox in df.columns else F.lit(None).cast("array<double>")
         self.df = df.withColumn(bbox, F.coalesce(own, M.bbox_or_computed(F.col(geometry))))
 
@@ -43,6 +47,8 @@ class SpatialIndex:
 
     def search(self, box: Column) -> DataFrame:
         """Rows whose box meets the given one, edges included."""
+        if self.flat:
+            return self.df.filter((F.col("west") <= M.east(box)) & (F.col("south") <= M.north(box)) & (F.col("east") >= M.west(box)) & (F.col("north") >= M.south(box)))
         return self.df.filter(M.bboxes_intersect(F.col(self.bbox), box))
 
     def search_all(self, boxes: DataFrame, box: str = "bbox") -> DataFrame:
@@ -66,7 +72,8 @@ class SpatialIndex:
 
     def clustered(self, partitions: int, cell: float = CELL * 16) -> DataFrame:
         """Rows near each other in the same files, with west, south, east and north on top level,
-        so that a reader's minimum and maximum statistics prune a box search."""
+        so that a reader's minimum and maximum statistics prune a box search; read them back as
+        ``SpatialIndex(df, clustered=True)``."""
         b = F.col(self.bbox)
         flat = self.df.withColumns({"west": M.west(b), "south": M.south(b), "east": M.east(b), "north": M.north(b)})
         place = [F.floor(F.col("west") / cell), F.floor(F.col("south") / cell)]

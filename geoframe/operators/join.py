@@ -38,8 +38,9 @@ def _box_cells(b: Column, level: Column) -> Column:
     return F.flatten(F.transform(span(M.west(b), M.east(b)), lambda cx: F.transform(span(M.south(b), M.north(b)), lambda cy: F.struct(level.alias("level"), cx.alias("cx"), cy.alias("cy")))))
 
 
-def _levels(df: DataFrame, box: Column) -> list[int]:
-    return sorted(r[0] for r in df.select(box_level(box).alias("l")).filter("l IS NOT NULL").distinct().collect())  # LEVELS at most
+def _levels(df: DataFrame, level: Column) -> Column:
+    """The levels that occur, as a scalar subquery: no job runs before the query does."""
+    return df.agg(F.array_sort(F.collect_set(level))).scalar()
 
 
 def _ref(alias: str, name: str) -> Column:
@@ -52,13 +53,11 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point: str = "geo
     Rows with a null geometry meet nothing. Every pair comes once, as it shares one cell.
     """
     boxed = polygons.select(F.struct("*").alias("polygon"), M.bbox_or_computed(F.col(polygon)).alias("box")).filter("box IS NOT NULL")
-    levels = _levels(boxed, F.col("box"))
-    if not levels:
-        levels = [0]
     right = boxed.withColumn("cell", F.explode(_box_cells(F.col("box"), box_level(F.col("box"))))).alias("r")
     left = points.select(F.struct("*").alias("point"), only_position(F.col(point)).alias("p")).filter("p IS NOT NULL")
-    cells = F.array(*[F.struct(F.lit(k).alias("level"), _cell(lon(F.col("p")), F.lit(k)).alias("cx"), _cell(lat(F.col("p")), F.lit(k)).alias("cy")) for k in levels])
-    left = left.withColumn("cell", F.explode(cells)).alias("l")
+    left = left.withColumn("level", F.explode(_levels(boxed, box_level(F.col("box")))))
+    at = F.struct(F.col("level"), _cell(lon(F.col("p")), F.col("level")).alias("cx"), _cell(lat(F.col("p")), F.col("level")).alias("cy"))
+    left = left.withColumn("cell", at).alias("l")
     b, p = F.col("r.box"), F.col("l.p")
     inside = (M.west(b) <= lon(p)) & (M.south(b) <= lat(p)) & (M.east(b) >= lon(p)) & (M.north(b) >= lat(p))
     pairs = left.join(right, (F.col("l.cell") == F.col("r.cell")) & inside)
@@ -87,12 +86,13 @@ def boxes_intersect(left: DataFrame, right: DataFrame, left_box: str = "bbox", r
     corner of the overlap only, so it comes once.
     """
 
-    def dealt(df: DataFrame, name: str, box: str, others: list[int]) -> DataFrame:
+    def dealt(df: DataFrame, name: str, box: str, others: Column) -> DataFrame:
         own = df.select(F.struct("*").alias(name), F.col(box).alias("box")).filter("box IS NOT NULL").withColumn("own", box_level(F.col("box")))
-        levels = F.array_distinct(F.concat(F.array("own"), F.filter(F.array(*map(F.lit, others)) if others else F.array().cast("array<int>"), lambda k: k > F.col("own"))))
+        own = own.withColumn("others", others)
+        levels = F.concat(F.array("own"), F.filter("others", lambda k: k > F.col("own")))
         return own.withColumn("level", F.explode(levels)).withColumn("cell", F.explode(_box_cells(F.col("box"), F.col("level"))))
 
-    a_levels, b_levels = _levels(left, F.col(left_box)), _levels(right, F.col(right_box))
+    a_levels, b_levels = _levels(left, box_level(F.col(left_box))), _levels(right, box_level(F.col(right_box)))
     a, b = dealt(left, "left", left_box, b_levels).alias("a"), dealt(right, "right", right_box, a_levels).alias("b")
     x, y = F.col("a.box"), F.col("b.box")
     top = F.greatest("a.own", "b.own")
@@ -110,12 +110,11 @@ def interval_lookup(keys: DataFrame, ranges: DataFrame, key: str, start: str, le
     """
     level = lambda n: F.when(n <= 1, 0).otherwise(F.ceil(F.log2(n.cast("double")))).cast("int")
     leveled = ranges.withColumn("__level", level(F.col(length)))
-    levels = sorted(r[0] for r in leveled.select("__level").filter("__level IS NOT NULL").distinct().collect()) or [0]  # 64 at most
     block = lambda v, k: F.call_function("shiftright", v.cast("long"), k)
     last = F.col(start) + F.col(length) - 1
     dealt = leveled.withColumn("__block", F.explode(F.array_distinct(F.array(block(F.col(start), F.col("__level")), block(last, F.col("__level"))))))
     slim = keys.select(F.col(key).alias("__key")).filter("__key IS NOT NULL").distinct()
-    looked = slim.withColumn("__b", F.explode(F.array(*[F.struct(F.lit(k).alias("l"), block(F.col("__key"), F.lit(k)).alias("b")) for k in levels])))
-    met = looked.join(dealt, (F.col("__b.l") == F.col("__level")) & (F.col("__b.b") == F.col("__block")) & (F.col("__key") >= F.col(start)) & (F.col("__key") < F.col(start) + F.col(length)))
+    looked = slim.withColumn("__l", F.explode(_levels(leveled, F.col("__level")))).withColumn("__b", block(F.col("__key"), F.col("__l")))
+    met = looked.join(dealt, (F.col("__l") == F.col("__level")) & (F.col("__b") == F.col("__block")) & (F.col("__key") >= F.col(start)) & (F.col("__key") < F.col(start) + F.col(length)))
     found = met.select("__key", *ranges.columns)
     return keys.join(found, keys[key] == found["__key"], how).drop("__key")

@@ -29,10 +29,14 @@ def entry_runs(tiles: DataFrame, key: Column, spread: int = 1 << 16) -> DataFram
     fresh = (F.lag("key").over(order).eqNullSafe(F.col("key")) & (F.lag("tile_id").over(order) == F.col("tile_id") - 1)).cast("int")
     marked = rows.withColumn("run", F.sum(1 - F.coalesce(fresh, F.lit(0))).over(order))
     local = marked.groupBy("part", "run", "key").agg(F.min("tile_id").alias("tile_id"), F.count("*").alias("run_length"))
+    stop = F.col("tile_id") + F.col("run_length")
+    # Only runs that touch an end of their range can go on in the next: two a range at most.
+    border = (F.col("tile_id") % spread == 0) | (stop % spread == 0)
     whole = Window.partitionBy("key").orderBy("tile_id")
-    joined = (F.lag(F.col("tile_id") + F.col("run_length")).over(whole) == F.col("tile_id")).cast("int")
-    again = local.withColumn("island", F.sum(1 - F.coalesce(joined, F.lit(0))).over(whole))
-    return again.groupBy("key", "island").agg(F.min("tile_id").alias("tile_id"), F.sum("run_length").alias("run_length")).select("tile_id", "run_length", "key")
+    joined = (F.lag(stop).over(whole) == F.col("tile_id")).cast("int")
+    again = local.filter(border).withColumn("island", F.sum(1 - F.coalesce(joined, F.lit(0))).over(whole))
+    merged = again.groupBy("key", "island").agg(F.min("tile_id").alias("tile_id"), F.sum("run_length").alias("run_length")).select("tile_id", "run_length", "key")
+    return merged.unionByName(local.filter(~border).select("tile_id", "run_length", "key"))
 
 
 def assemble(tiles: DataFrame) -> DataFrame:
