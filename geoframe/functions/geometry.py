@@ -97,10 +97,34 @@ def build_polygon(rings: Column) -> Column:
     return polygon(F.transform(rings, close_ring))
 
 
+def _in_order(place: Column, value: Column) -> Column:
+    rows = F.array_sort(F.collect_list(F.struct(place.alias("k"), value.alias("v"))))
+    return F.transform(rows, lambda r: r["v"])
+
+
 def make_line(place: Column, p: Column) -> Column:
-    """Aggregate: the line through a group's positions in the order of ``place``."""
-    rows = F.array_sort(F.collect_list(F.struct(place.alias("k"), p.alias("p"))))
-    return line_string(F.transform(rows, lambda r: r["p"]))
+    """Aggregate: the line through a group's positions in the order of ``place``. A line is one value, so a group must fit a row."""
+    return line_string(_in_order(place, p))
+
+
+def make_multi_point(place: Column, p: Column) -> Column:
+    """Aggregate: a group's positions in the order of ``place``."""
+    return multi_point(_in_order(place, p))
+
+
+def make_multi_line(place: Column, line: Column) -> Column:
+    """Aggregate: a group's lines, each an array of positions, in the order of ``place``."""
+    return multi_line_string(_in_order(place, line))
+
+
+def make_polygon(place: Column, ring: Column) -> Column:
+    """Aggregate: the polygon of a group's rings, the outer one first; open rings are closed."""
+    return build_polygon(_in_order(place, ring))
+
+
+def make_multi_polygon(place: Column, rings: Column) -> Column:
+    """Aggregate: a group's polygons, each an array of rings, in the order of ``place``."""
+    return multi_polygon(_in_order(place, rings))
 
 
 def point_of(*axes_: float) -> Column:
@@ -131,6 +155,35 @@ def multi_polygon_of(*polygons) -> Column:
     return multi_polygon(F.array(*[F.array(*map(_literal, p)) for p in polygons]))
 
 
+# collections: an array of geometries; members that are collections themselves are laid out in their place
+
+
+def geometry_collection(*members) -> Column:
+    """A collection of geometries and of other collections, given as arrays by ``in_collection``."""
+    return F.flatten(F.array(*[m.members if isinstance(m, _Members) else F.array(m) for m in members]))
+
+
+class _Members:
+    def __init__(self, members: Column):
+        self.members = members
+
+
+def in_collection(geometries: Column) -> _Members:
+    """A collection as a member of another."""
+    return _Members(geometries)
+
+
+def build_collection(place: Column, g: Column) -> Column:
+    """Aggregate: the collection of a group's geometries in the order of ``place``; null geometries are left out."""
+    rows = F.array_sort(F.collect_list(F.when(g.isNotNull(), F.struct(place.alias("k"), g.alias("g")))))
+    return F.transform(rows, lambda r: r["g"])
+
+
+def collection_coordinates(gs: Column) -> Column:
+    """All positions of a collection in order."""
+    return F.flatten(F.transform(gs, coordinates))
+
+
 # coordinates
 
 
@@ -255,6 +308,11 @@ def lines_to_multi_polygon(geometries: Column, auto_close: bool = True, auto_ord
 # properties
 
 
+def properties_as(props: Column, ddl: str) -> Column:
+    """Properties as a struct of the caller's types; keys that it lacks are left out, missing ones are null."""
+    return F.from_json(props, ddl)
+
+
 def contains_property(props: Column, key: str) -> Column:
     """Whether a JSON object has a key; false for null."""
     return F.coalesce(F.array_contains(F.json_object_keys(props), key), F.lit(False))

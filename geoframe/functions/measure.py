@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import coordinates, lat, let, lines_of, lon, make, num, point, polygon, position
+from .geometry import collection_coordinates, coordinates, lat, let, lines_of, lon, make, num, point, polygon, position
 
 # fixed values: the sphere's mean radius, for lengths, and its equatorial one, for areas
 RADIUS = 6371008.8
@@ -193,6 +193,30 @@ def compute_bbox(g: Column) -> Column:
     return positions_bbox(coordinates(g))
 
 
+def bbox_or_error(g: Column) -> Column:
+    """Box of all positions; an error where there are none or one isn't finite, null for null."""
+    return F.when(g.isNull(), F.lit(None).cast("array<double>")).otherwise(F.coalesce(compute_bbox(g), F.raise_error(F.lit("a box needs finite positions")).cast("array<double>")))
+
+
+def _sum_over(gs: Column, f) -> Column:
+    return F.aggregate(F.transform(gs, f), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+
+
+def collection_length(gs: Column) -> Column:
+    """Length of all members of a collection; null for null, 0 for none."""
+    return _sum_over(gs, length)
+
+
+def collection_area(gs: Column) -> Column:
+    """Area of all members of a collection; null for null, 0 for none."""
+    return _sum_over(gs, area)
+
+
+def collection_bbox(gs: Column) -> Column:
+    """Box of all positions of a collection; null where there are none or one isn't finite."""
+    return positions_bbox(collection_coordinates(gs))
+
+
 def with_bbox(g: Column) -> Column:
     return make(g["type"], g["parts"], compute_bbox(g))
 

@@ -318,9 +318,9 @@ def segment_intersect(spark, d):
 RIM = dest("x", "y", "r", "t")
 
 
-@query("circle", f"WITH p AS (SELECT id, x1 AS x, y1 AS y, CAST((id % 50 + 1) * 1000 AS DOUBLE) AS r, unnest(range(0, 17)) AS k FROM ({POINTS}) WHERE id % 10 = 0), q AS (SELECT id, k, x, y, r, k * CAST(-360 AS DOUBLE) / 16 AS t FROM p) SELECT id, k AS place, round({RIM[0]}, 5) AS lon, round({RIM[1]}, 5) AS lat FROM q")
+@query("circle", f"WITH p AS (SELECT id, x1 AS x, y1 AS y, CAST((id % 50 + 1) * 1000 AS DOUBLE) AS r, unnest(range(0, 17)) AS k FROM ({POINTS})), q AS (SELECT id, k, x, y, r, k * CAST(-360 AS DOUBLE) / 16 AS t FROM p) SELECT id, k AS place, round({RIM[0]}, 5) AS lon, round({RIM[1]}, 5) AS lat FROM q")
 def circle(spark, d):
-    made = points(spark, d).filter("id % 10 = 0").select("id", X.circle(_a(), (F.col("id") % 50 + 1) * 1000, 16).alias("g"))
+    made = points(spark, d).select("id", X.circle(_a(), (F.col("id") % 50 + 1) * 1000, 16).alias("g"))
     e = made.select("id", F.posexplode(G.coordinates(F.col("g"))).alias("place", "p")).filter("place < 17")
     return e.select("id", F.col("place").cast("long").alias("place"), F.round(G.lon(F.col("p")), 5).alias("lon"), F.round(G.lat(F.col("p")), 5).alias("lat"))
 
@@ -331,41 +331,129 @@ def square_grid(spark, d):
     return X.square_grid(b.select("bid", F.array(F.lit(0.0) - F.col("w"), F.lit(0.0) - F.col("w"), F.col("w"), F.col("w")).alias("box")), F.col("box"), 50000.0).groupBy("bid").agg(F.count("*").alias("cells"))
 
 
-@query("great_circle")
+@query(
+    "great_circle",
+    f"""WITH p AS ({POINTS}), d AS (SELECT *, {hav(*P4)} / {R} AS d FROM p), k AS (SELECT unnest(range(0, 20)) AS k),
+    w AS (SELECT id, x1, y1, x2, y2, k, sin((1 - (k + 1) / CAST(19 AS DOUBLE)) * d) / sin(d) AS p, sin((k + 1) / CAST(19 AS DOUBLE) * d) / sin(d) AS q FROM d, k WHERE d > 0 AND abs(d - pi()) > CAST(1e-12 AS DOUBLE)),
+    v AS (SELECT *, p * cos(radians(y1)) * cos(radians(x1)) + q * cos(radians(y2)) * cos(radians(x2)) AS vx, p * cos(radians(y1)) * sin(radians(x1)) + q * cos(radians(y2)) * sin(radians(x2)) AS vy, p * sin(radians(y1)) + q * sin(radians(y2)) AS vz FROM w),
+    c AS (SELECT id, k, CASE k WHEN 0 THEN x1 WHEN 19 THEN x2 ELSE degrees(atan2(vy, vx)) END AS x, CASE k WHEN 0 THEN y1 WHEN 19 THEN y2 ELSE degrees(atan2(vz, sqrt(vx * vx + vy * vy))) END AS y FROM v),
+    s AS (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY k) AS px FROM c),
+    j AS (SELECT id, count(*) FILTER (abs(x - px) > 350 AND ((px > 170 AND x < -170) OR (px < -170 AND x > 170))) AS cuts, coalesce(max(abs(x - px)) FILTER (abs(x - px) <= 350), 0) AS ordinary, round(max(y) FILTER (k = 7), 5) AS lat7 FROM s GROUP BY id)
+    SELECT p.id, CASE WHEN cuts > 0 AND ordinary < 10 THEN 'MultiLineString' WHEN cuts IS NOT NULL THEN 'LineString' END AS type, CAST(20 + CASE WHEN ordinary < 10 THEN 2 * cuts ELSE 0 END AS BIGINT) AS positions, CASE WHEN cuts = 0 THEN lat7 END AS lat7
+    FROM p LEFT JOIN j USING (id)""",
+)
 def great_circle(spark, d):
     made = points(spark, d).select("id", X.great_circle(_a(), _b(), 20).alias("g"))
-    return made.select("id", F.col("g.type").alias("type"), F.size(G.coordinates(F.col("g"))).alias("positions"))
-
-
-@query("nearest_on_line")
+    seventh = F.when(F.col("g.type") == "LineString", F.round(G.lat(F.get(G.coordinates(F.col("g")), 7)), 5))
+    uncut = ~F.exists(F.zip_with(F.slice(G.coordinates(F.col("g")), 1, 19), F.slice(G.coordinates(F.col("g")), 2, 19), lambda p, q: F.abs(G.lon(q) - G.lon(p)) > 350), lambda x: F.coalesce(x, F.lit(False)))
+    return made.select("id", F.col("g.type").alias("type"), F.size(G.coordinates(F.col("g"))).cast("long").alias("positions"), F.when(uncut, seventh).alias("lat7"))
+
+
+def nearest_sql(px: str, py: str) -> str:
+    """CTEs ending in ``near`` (id, x, y, d, at, i): the nearest place of each of ``l`` to a position, by every candidate of every segment."""
+    a, b = ("line[i][1]", "line[i][2]"), ("line[i + 1][1]", "line[i + 1][2]")
+    one, two = dest("px", "py", "h", "(t + 90)"), dest("px", "py", "h", "(t - 90)")
+    return f"""seg AS (SELECT id, i, line, {px} AS px, {py} AS py, {a[0]} AS ax, {a[1]} AS ay, {b[0]} AS bx, {b[1]} AS by_, {hav(*a, *b)} AS n FROM l, (SELECT unnest(range(1, 6)) AS i)),
+    aim AS (SELECT *, {hav('px', 'py', 'ax', 'ay')} AS da, {hav('px', 'py', 'bx', 'by_')} AS db, greatest({hav('px', 'py', 'ax', 'ay')}, {hav('px', 'py', 'bx', 'by_')}) AS h, {brg('ax', 'ay', 'bx', 'by_')} AS t, coalesce(sum(n) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM seg),
+    ends AS (SELECT *, {one[0]} AS cx, {one[1]} AS cy, {two[0]} AS ex, {two[1]} AS ey FROM aim),
+    cut AS (SELECT *, (by_ - ay) * (ex - cx) - (bx - ax) * (ey - cy) AS q FROM ends),
+    uv AS (SELECT *, ((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) / nullif(q, 0) AS u, ((ex - cx) * (cy - ay) - (ey - cy) * (cx - ax)) / nullif(q, 0) AS v FROM cut),
+    cand AS (SELECT id, i, before, ax, ay, 0 AS c, ax AS x, ay AS y, da AS d, i - 1 AS k FROM uv UNION ALL SELECT id, i, before, ax, ay, 1, bx, by_, db, i FROM uv
+      UNION ALL SELECT id, i, before, ax, ay, 2, cx + u * (ex - cx), cy + u * (ey - cy), {hav('px', 'py', '(cx + u * (ex - cx))', '(cy + u * (ey - cy))')}, i - 1 FROM uv WHERE u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1),
+    near AS (SELECT id, x, y, d, before + {hav('ax', 'ay', 'x', 'y')} AS at_m, k FROM cand QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, i, c) = 1)"""
+
+
+@query("nearest_on_line", f"WITH l AS ({LINES_SQL}), {nearest_sql(lon_of('id') + ' / 2', lat_of('id') + ' / 2')} SELECT id, CAST(k AS INTEGER) AS index, round(d / 1000, 3) AS km, round(at_m / 1000, 3) AS at_km, round(x, 5) AS lon, round(y, 5) AS lat FROM near")
 def nearest_on_line(spark, d):
     p = F.array(F.expr(f"{lon_of('id')} / 2"), F.expr(f"{lat_of('id')} / 2"))
     near = lines(spark, d).withColumn("p", p).select("id", L.nearest_on_lines(F.array("line"), F.col("p")).alias("n"))
-    return near.select("id", "n.index", F.round(F.col("n.distance") / 1000, 3).alias("km"), F.round(F.col("n.location") / 1000, 3).alias("at_km"))
+    return near.select("id", "n.index", F.round(F.col("n.distance") / 1000, 3).alias("km"), F.round(F.col("n.location") / 1000, 3).alias("at_km"), F.round(G.lon(F.col("n.at")), 5).alias("lon"), F.round(G.lat(F.col("n.at")), 5).alias("lat"))
+
+
+WALK = f"v0 AS (SELECT id, unnest(range(0, 6)) AS k, unnest(line)[1] AS x, unnest(line)[2] AS y FROM l), v1 AS (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY k) AS px, lag(y) OVER (PARTITION BY id ORDER BY k) AS py FROM v0), v AS (SELECT *, sum(CASE WHEN k = 0 THEN 0 ELSE {hav('px', 'py', 'x', 'y')} END) OVER (PARTITION BY id ORDER BY k) AS gone, {brg('px', 'py', 'x', 'y')} AS t FROM v1)"
+
+
+def place_sql(name: str, metres: str) -> str:
+    """A CTE (id, x, y) of the place at a distance along each line of WALK."""
+    x, y = dest("x", "y", f"({metres} - gone)", "t")
+    return f"""{name} AS (SELECT id, CASE WHEN k = 5 AND {metres} >= gone OR {metres} = gone THEN x ELSE {x} END AS x, CASE WHEN k = 5 AND {metres} >= gone OR {metres} = gone THEN y ELSE {y} END AS y
+      FROM v WHERE gone >= {metres} OR k = 5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) = 1)"""
 
 
-@query("locate_along")
+@query("locate_along", f"WITH l AS ({LINES_SQL}), {WALK}, {place_sql('p', 'CAST(id % 500 * 1000 AS DOUBLE)')} SELECT id, round(x, 5) AS lon, round(y, 5) AS lat FROM p")
 def locate_along(spark, d):
     at = lines(spark, d).select("id", L.locate_along(F.col("line"), F.col("id") % 500 * 1000).alias("p"))
     return at.select("id", F.round(G.lon(F.col("p")), 5).alias("lon"), F.round(G.lat(F.col("p")), 5).alias("lat"))
 
 
-@query("line_slice")
+CUT = "CAST(1000 AS DOUBLE)", "CAST(90000 AS DOUBLE)"
+
+
+@query(
+    "line_slice",
+    f"""WITH l AS ({LINES_SQL}), {WALK}, {place_sql('a', CUT[0])}, {place_sql('b', CUT[1])},
+    part AS (SELECT id, -1 AS k, x, y FROM a UNION ALL SELECT id, k, x, y FROM v WHERE gone > {CUT[0]} AND gone < {CUT[1]} AND k < 5 UNION ALL SELECT id, 6, x, y FROM b),
+    hops AS (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY k) AS px, lag(y) OVER (PARTITION BY id ORDER BY k) AS py FROM part)
+    SELECT id, count(*) AS positions, round(coalesce(sum({hav('px', 'py', 'x', 'y')}), 0) / 1000, 3) AS km FROM hops GROUP BY id""",
+)
 def line_slice(spark, d):
     made = lines(spark, d).select("id", L.slice_along(F.col("line"), 1000.0, 90000.0).alias("part"))
-    return made.select("id", F.size("part").alias("positions"), F.round(M.line_length(F.col("part")) / 1000, 3).alias("km"))
+    return made.select("id", F.size("part").cast("long").alias("positions"), F.round(M.line_length(F.col("part")) / 1000, 3).alias("km"))
+
+
+SHARP = "CAST(0.85 AS DOUBLE)"
+
 
+def control_sql(c: str, axis: int) -> str:
+    """A control at position k + 1 towards the centre before (into) or after it (out)."""
+    near, far = ("k", "k + 1") if c == "into" else ("k + 1", "k + 2")
+    own = f"(line[{near}][{axis}] + line[{far}][{axis}]) / 2"
+    middle = f"((line[k][{axis}] + line[k + 1][{axis}]) / 2 + (line[k + 1][{axis}] + line[k + 2][{axis}]) / 2) / 2"
+    return f"((1 - {SHARP}) * line[k + 1][{axis}] + {SHARP} * ({own} + line[k + 1][{axis}] - {middle}))"
 
-@query("bezier_spline")
+
+def curve_sql(axis: int) -> str:
+    p0, p3 = f"line[n + 1][{axis}]", f"line[n + 2][{axis}]"
+    p1 = f"CASE WHEN n = 0 THEN {p0} ELSE list_extract(outs, n)[{axis}] END"
+    p2 = f"CASE WHEN n = 4 THEN {p3} ELSE list_extract(ins, n + 1)[{axis}] END"
+    return f"(pow(1 - t, 3) * {p0} + 3 * pow(1 - t, 2) * t * ({p1}) + 3 * (1 - t) * t * t * ({p2}) + pow(t, 3) * {p3})"
+
+
+@query(
+    "bezier_spline",
+    f"""WITH l AS ({LINES_SQL}), c AS (SELECT id, line, list_transform(range(1, 5), lambda k: [{control_sql('into', 1)}, {control_sql('into', 2)}]) AS ins, list_transform(range(1, 5), lambda k: [{control_sql('out', 1)}, {control_sql('out', 2)}]) AS outs FROM l),
+    s AS (SELECT id, line, ins, outs, r, CAST(floor(5 * r / CAST(10000 AS DOUBLE)) AS BIGINT) AS n, 5 * r / CAST(10000 AS DOUBLE) - floor(5 * r / CAST(10000 AS DOUBLE)) AS t FROM c, (SELECT unnest(range(0, 10000, 10)) AS r) WHERE (r // 100) % 2 = 0),
+    p AS (SELECT id, r, {curve_sql(1)} AS x, {curve_sql(2)} AS y FROM s UNION ALL SELECT id, 10000, line[6][1], line[6][2] FROM l),
+    h AS (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY r) AS px, lag(y) OVER (PARTITION BY id ORDER BY r) AS py FROM p)
+    SELECT id, count(*) AS positions, round(sum({hav('px', 'py', 'x', 'y')}) / 1000, 2) AS km FROM h GROUP BY id""",
+)
 def bezier_spline(spark, d):
     spread = lines(spark, d).repartition(spark.sparkContext.defaultParallelism)  # few bytes, but much to draw
     made = spread.select("id", X.bezier_spline(F.col("line")).alias("s"))
-    return made.select("id", F.size("s").alias("positions"), F.round(M.line_length(F.col("s")) / 1000, 2).alias("km"))
+    return made.select("id", F.size("s").cast("long").alias("positions"), F.round(M.line_length(F.col("s")) / 1000, 2).alias("km"))
+
 
+FAR_SQL = "(sx - x1 - {t} * (x2 - x1)) * (sx - x1 - {t} * (x2 - x1)) + (sy - y1 - {t} * (y2 - y1)) * (sy - y1 - {t} * (y2 - y1))"
+SHARE_SQL = "CASE WHEN (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) = 0 THEN 0 ELSE greatest(0, least(1, ((sx - x1) * (x2 - x1) + (sy - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) END"
 
-@query("simplify_line")
+
+@query(
+    "simplify_line",
+    f"""WITH RECURSIVE l AS ({LINES_SQL}),
+    thin(id, k, last, kept) AS (SELECT id, 1, 1, [1] FROM l UNION ALL
+      SELECT t.id, t.k + 1, CASE WHEN far THEN t.k + 1 ELSE t.last END, CASE WHEN far THEN list_append(t.kept, t.k + 1) ELSE t.kept END
+      FROM (SELECT thin.*, pow(line[thin.k + 1][1] - line[last][1], 2) + pow(line[thin.k + 1][2] - line[last][2], 2) > CAST(0.25 AS DOUBLE) AS far FROM thin JOIN l USING (id) WHERE k < 6) t),
+    rest AS (SELECT id, line, CASE WHEN list_contains(kept, 6) THEN kept ELSE list_append(kept, 6) END AS kept FROM thin JOIN l USING (id) WHERE k = 6),
+    split(id, a, b) AS (SELECT id, 1, len(kept) FROM rest UNION ALL
+      SELECT s.id, CASE h WHEN 1 THEN s.a ELSE s.m END, CASE h WHEN 1 THEN s.m ELSE s.b END FROM (
+        SELECT id, a, b, arg_max(m, (gap, -m)) AS m, max(gap) AS gap FROM (
+          SELECT id, a, b, m, {FAR_SQL.format(t='t')} AS gap FROM (SELECT *, {SHARE_SQL} AS t FROM (
+            SELECT id, a, b, m, line[kept[m]][1] AS sx, line[kept[m]][2] AS sy, line[kept[a]][1] AS x1, line[kept[a]][2] AS y1, line[kept[b]][1] AS x2, line[kept[b]][2] AS y2
+            FROM split JOIN rest USING (id), LATERAL (SELECT unnest(range(a + 1, b)) AS m) WHERE b - a > 1))) GROUP BY id, a, b) s, (SELECT unnest([1, 2]) AS h) WHERE s.gap > CAST(0.25 AS DOUBLE))
+    SELECT id, count(DISTINCT a) + 1 AS positions FROM split GROUP BY id""",
+)
 def simplify_line(spark, d):
-    return lines(spark, d).select("id", F.size(X.simplify(F.col("line"), 0.5)).alias("positions"))
+    return lines(spark, d).select("id", F.size(X.simplify(F.col("line"), 0.5)).cast("long").alias("positions"))
 
 
 @query("unit_sum", f"WITH p AS ({POINTS}) SELECT id % 10 AS k, round(sum({hav(*P4)}) / 1609.344, 1) AS miles FROM p GROUP BY 1")
@@ -443,7 +531,18 @@ def polyline_decode(spark, d):
     return made.select("id", F.col("place").cast("long").alias("place"), F.round(G.lon(F.col("p")), 5).alias("lon"), F.round(G.lat(F.col("p")), 5).alias("lat"))
 
 
-@query("polyline_encode")
+NUMBER_SQL = """list_aggregate(list_transform(range(0, 1 + len(list_filter(range(1, 13), lambda j: (z >> CAST(5 * j AS INTEGER)) > 0))),
+  lambda j: chr(CAST(((z >> CAST(5 * j AS INTEGER)) & 31) + CASE WHEN (z >> CAST(5 * (j + 1) AS INTEGER)) > 0 THEN 32 ELSE 0 END + 63 AS INTEGER))), 'string_agg', '')"""
+
+
+@query(
+    "polyline_encode",
+    f"""WITH l AS ({LINES_SQL}), p AS (SELECT id, unnest(range(0, 6)) AS k, unnest(line) AS p FROM l),
+    w AS (SELECT id, 2 * k + a AS place, a, CAST(floor(p[2 - a] * 100000 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS v FROM p, (SELECT unnest([0, 1]) AS a)),
+    e AS (SELECT id, place, v - coalesce(lag(v) OVER (PARTITION BY id, a ORDER BY place), 0) AS delta FROM w),
+    z AS (SELECT id, place, CASE WHEN delta < 0 THEN -2 * delta - 1 ELSE 2 * delta END AS z FROM e)
+    SELECT id, string_agg({NUMBER_SQL}, '' ORDER BY place) AS text FROM z GROUP BY id""",
+)
 def polyline_encode(spark, d):
     return lines(spark, d).select("id", polyline.encode(F.col("line")).alias("text"))
 
@@ -468,3 +567,6 @@ def geojson_roundtrip(spark, d):
 def property_access(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.select("event_id", G.property_as(F.col("props"), "k", "bigint").alias("k"), G.contains_property(F.col("props"), "k").alias("has_k"), G.contains_property(F.col("props"), "zz").alias("has_zz"))
+
+
+from . import families  # noqa: E402, F401 - adds its queries

@@ -2,7 +2,8 @@
 
 Unknown keys are ignored. A decoded feature is a struct of geometry, properties (JSON text), id
 (its JSON literal, so that "1" and 1 differ), bbox and geometries: the last holds the members
-of a geometry collection, in place of a geometry. Nested geometry collections are flattened.
+of a geometry collection, in place of a geometry. The members of nested collections come in
+their place, down to NESTED levels; deeper ones are malformed.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from geoframe.schema import BBOX, GEOMETRY, GEOMETRY_DDL, is_valid, is_valid_bbo
 
 FEATURE_DDL = f"struct<geometry:{GEOMETRY_DDL},properties:string,id:string,bbox:array<double>,geometries:array<{GEOMETRY_DDL}>>"
 MEMBERS = "type string, geometry struct<type:string,coordinates:string,geometries:string,bbox:string>, properties string, id string, bbox string"
+NESTED = 8  # levels of geometry collections inside each other
 KINDS = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon", "GeometryCollection", "Feature", "FeatureCollection")
 
 
@@ -64,15 +66,20 @@ def geometry(j: Column, kind: str | None = None) -> Column:
 
 
 def _children(text: Column) -> Column:
-    """The geometries of a JSON array, one level of nested collections flattened; null if one is malformed."""
-    items = F.from_json(text, "array<string>")
-    inner = lambda x: F.when(F.get_json_object(x, "$.type") == "GeometryCollection", F.from_json(F.get_json_object(x, "$.geometries"), "array<string>")).otherwise(F.array(x))
-    made = F.transform(F.flatten(F.transform(items, inner)), lambda x: geometry_or_null(x))
+    """The geometries of a JSON array, those of nested collections in their place; null if one is malformed."""
+    nested = lambda x: F.coalesce(F.get_json_object(x, "$.type") == "GeometryCollection", F.lit(False))
+    inner = lambda x: F.when(nested(x), F.from_json(F.get_json_object(x, "$.geometries"), "array<string>")).otherwise(F.array(x))
+
+    def level(items: Column, _) -> Column:
+        return F.when(F.exists(items, nested), F.flatten(F.transform(items, inner))).otherwise(items)
+
+    items = F.aggregate(F.sequence(F.lit(2), F.lit(NESTED)), F.from_json(text, "array<string>"), level)
+    made = F.transform(items, lambda x: geometry_or_null(x))
     return let(made, lambda gs: F.when(F.forall(gs, lambda g: g.isNotNull()), gs))
 
 
 def geometries(j: Column) -> Column:
-    """The geometries of a collection, one level of nested collections flattened; null if malformed."""
+    """The geometries of a collection, those of nested ones in their place; null if malformed."""
     return F.when(F.get_json_object(j, "$.type") == "GeometryCollection", _children(F.get_json_object(j, "$.geometries")))
 
 
@@ -129,6 +136,21 @@ def decode_documents(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.explode(items).alias("__j")).select(feature(F.col("__j")).alias("f")).select("f.*")
 
 
+def feature_of(geometry_: Column, properties: Column | None = None, id_: Column | None = None, bbox: Column | None = None, geometries: Column | None = None) -> Column:
+    """A feature struct of its members. ``id_`` is a column of strings or numbers and becomes its JSON literal."""
+    none = lambda c, kind: F.lit(None).cast(kind) if c is None else c.cast(kind)
+    return F.struct(
+        none(geometry_, GEOMETRY).alias("geometry"), none(properties, "string").alias("properties"), none(None if id_ is None else id_literal(id_), "string").alias("id"),
+        none(bbox, BBOX).alias("bbox"), none(geometries, f"array<{GEOMETRY_DDL}>").alias("geometries"),
+    )
+
+
+def id_literal(id_: Column) -> Column:
+    """A string or number as the JSON literal that ids are kept as; null for null."""
+    text = F.to_json(F.array(id_))
+    return F.when(id_.isNotNull(), F.substring(text, F.lit(2), F.length(text) - 2))
+
+
 # encoding
 
 

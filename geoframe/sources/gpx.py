@@ -38,6 +38,12 @@ def read(spark: SparkSession, path: str, tag: str = "wpt") -> DataFrame:
     return spark.read.format("xml").schema(schema(tag)).option("rowTag", tag).load(path)
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(creator, version) of each document, with the defaults where they aren't told."""
+    told = spark.read.format("xml").schema("_creator string, _version string, metadata " + SCHEMAS["metadata"]).option("rowTag", "gpx").load(path)
+    return told.select(F.coalesce("_creator", F.lit(DEFAULT_CREATOR)).alias("creator"), F.coalesce("_version", F.lit("1.1")).alias("version"), "metadata")
+
+
 def time_of(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
@@ -63,7 +69,7 @@ def segment_geometries(segment: Column) -> Column:
 
 def track_features(df: DataFrame) -> DataFrame:
     """A feature a track, with the points of all segments in order as ``geometries``."""
-    return df.select(F.flatten(F.transform("trkseg", segment_geometries)).alias("geometries"), F.to_json(F.struct(*df.columns)).alias("properties"))
+    return df.select(F.flatten(F.transform(F.coalesce("trkseg", F.array().cast(f"array<struct<trkpt:array<{POINT}>>>")), segment_geometries)).alias("geometries"), F.to_json(F.struct(*df.columns)).alias("properties"))
 
 
 # writing
@@ -82,31 +88,55 @@ def _element(tag: str, c: Column, pad: str) -> Column:
 def encode_point(w: Column, tag: str = "wpt", pad: str = "    ") -> Column:
     """A waypoint struct, with all or some of the fields of POINT, as an element."""
     names = [x.split(":")[0] for x in POINT_FIELDS.replace(LINK, "link").split(",")]
-    link = w["link"]
     parts = []
     for name in names:
-        if name == "link":
-            inner = F.concat(_element("text", link["text"], pad * 3), _element("type", link["type"], pad * 3))
-            parts.append(F.when(link.isNotNull(), F.concat(F.lit(f'{pad * 2}<link href="'), _escape(link["_href"]), F.lit('">\n'), inner, F.lit(f"{pad * 2}</link>\n"))).otherwise(""))
-        else:
-            parts.append(_element(name, w[name], pad * 2))
+        parts.append(_link(w["link"], pad * 2) if name == "link" else _element(name, w[name], pad * 2))
     return F.concat(F.lit(f'{pad}<{tag} lat="'), w["_lat"].cast("string"), F.lit('" lon="'), w["_lon"].cast("string"), F.lit('">\n'), *parts, F.lit(f"{pad}</{tag}>\n"))
 
 
+def _link(link: Column, pad: str) -> Column:
+    inner = F.concat(_element("text", link["text"], pad + "    "), _element("type", link["type"], pad + "    "))
+    return F.when(link.isNotNull(), F.concat(F.lit(f'{pad}<link href="'), _escape(F.coalesce(link["_href"], F.lit(""))), F.lit('">\n'), inner, F.lit(f"{pad}</link>\n"))).otherwise("")
+
+
 def _head(w: Column, pad: str) -> Column:
-    return F.concat(*[_element(n, w[n], pad) for n in ("name", "cmt", "desc", "src", "number", "type")])
+    """What routes and tracks begin with, in the order of the format."""
+    return F.concat(*[_link(w["link"], pad) if n == "link" else _element(n, w[n], pad) for n in ("name", "cmt", "desc", "src", "link", "number", "type")])
+
+
+def encode_metadata(m: Column, pad: str = "    ") -> Column:
+    """A struct of the fields of SCHEMAS["metadata"] as an element; empty for null."""
+    two, three = pad * 2, pad * 3
+    author, mail, rights, box = m["author"], m["author"]["email"], m["copyright"], m["bounds"]
+    email = F.when(mail.isNotNull(), F.concat(F.lit(f'{three}<email id="'), _escape(F.coalesce(mail["_id"], F.lit(""))), F.lit('" domain="'), _escape(F.coalesce(mail["_domain"], F.lit(""))), F.lit('"/>\n'))).otherwise("")
+    who = F.when(author.isNotNull(), F.concat(F.lit(f"{two}<author>\n"), _element("name", author["name"], three), email, _link(author["link"], three), F.lit(f"{two}</author>\n"))).otherwise("")
+    owned = F.concat(F.lit(f'{two}<copyright author="'), _escape(F.coalesce(rights["_author"], F.lit(""))), F.lit('">\n'), _element("year", rights["year"], three), _element("license", rights["license"], three), F.lit(f"{two}</copyright>\n"))
+    edge = lambda k: F.concat(F.lit(f'{k}="'), F.coalesce(box[f"_{k}"].cast("string"), F.lit("")), F.lit('"'))
+    bounds = F.concat(F.lit(f"{two}<bounds "), F.concat_ws(" ", *map(edge, ("minlat", "minlon", "maxlat", "maxlon"))), F.lit("/>\n"))
+    parts = [
+        _element("name", m["name"], two), _element("desc", m["desc"], two), who, F.when(rights.isNotNull(), owned).otherwise(""), _link(m["link"], two),
+        _element("time", m["time"], two), _element("keywords", m["keywords"], two), F.when(box.isNotNull(), bounds).otherwise(""),
+    ]
+    return F.when(m.isNotNull(), F.concat(F.lit(f"{pad}<metadata>\n"), *parts, F.lit(f"{pad}</metadata>\n"))).otherwise("")
+
+
+def _each(items: Column, f) -> Column:
+    """The texts of an array's elements; empty for a null array."""
+    return F.coalesce(F.array_join(F.transform(items, f), ""), F.lit(""))
 
 
 def encode_route(r: Column, pad: str = "    ") -> Column:
-    return F.concat(F.lit(f"{pad}<rte>\n"), _head(r, pad * 2), F.array_join(F.transform(r["rtept"], lambda w: encode_point(w, "rtept", pad)), ""), F.lit(f"{pad}</rte>\n"))
+    return F.concat(F.lit(f"{pad}<rte>\n"), _head(r, pad * 2), _each(r["rtept"], lambda w: encode_point(w, "rtept", pad)), F.lit(f"{pad}</rte>\n"))
 
 
 def encode_track(t: Column, pad: str = "    ") -> Column:
-    segment = lambda s: F.concat(F.lit(f"{pad * 2}<trkseg>\n"), F.array_join(F.transform(s["trkpt"], lambda w: encode_point(w, "trkpt", pad)), ""), F.lit(f"{pad * 2}</trkseg>\n"))
-    return F.concat(F.lit(f"{pad}<trk>\n"), _head(t, pad * 2), F.array_join(F.transform(t["trkseg"], segment), ""), F.lit(f"{pad}</trk>\n"))
+    segment = lambda s: F.concat(F.lit(f"{pad * 2}<trkseg>\n"), _each(s["trkpt"], lambda w: encode_point(w, "trkpt", pad)), F.lit(f"{pad * 2}</trkseg>\n"))
+    return F.concat(F.lit(f"{pad}<trk>\n"), _head(t, pad * 2), _each(t["trkseg"], segment), F.lit(f"{pad}</trk>\n"))
 
 
-def document(elements: Column, creator: str = DEFAULT_CREATOR) -> Column:
-    """A document around the text of its elements."""
-    start = f'<?xml version="1.0" encoding="UTF-8"?>\n<gpx xmlns="http://www.topografix.com/GPX/1/1" version="1.1" creator="{creator}">\n'
-    return F.concat(F.lit(start), elements, F.lit("</gpx>\n"))
+def document(elements: Column, creator: str | Column = DEFAULT_CREATOR, metadata: Column | None = None) -> Column:
+    """A document around the text of its elements, its metadata first; null elements count as none."""
+    head = F.lit("") if metadata is None else encode_metadata(metadata)
+    own = _escape(creator if isinstance(creator, Column) else F.lit(creator))
+    start = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<gpx xmlns="http://www.topografix.com/GPX/1/1" version="1.1" creator="'), own, F.lit('">\n'))
+    return F.concat(start, head, F.coalesce(elements, F.lit("")), F.lit("</gpx>\n"))

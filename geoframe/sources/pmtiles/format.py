@@ -57,6 +57,9 @@ DECOMPRESS: dict[int, Callable[[bytes], bytes]] = {NONE: lambda b: b, GZIP: gunz
 COMPRESS: dict[int, Callable[[bytes], bytes]] = {NONE: lambda b: b, GZIP: lambda b: gzip.compress(b, 9, mtime=0)}
 
 
+LIMITS = {"directory": MAX_BYTES, "metadata": MAX_BYTES, "tile": MAX_BYTES, "entries": 1 << 24, "depth": 4}
+
+
 def codec(table: dict[int, Callable[[bytes], bytes]], code: int, extra: dict | None = None) -> Callable[[bytes], bytes]:
     found = (extra or {}).get(code) or table.get(code)
     if not found:
@@ -94,11 +97,12 @@ def parse_header(data: bytes, size: int, strict: bool = True) -> tuple[dict, lis
     need(h["min_lon"] <= h["max_lon"] and h["min_lat"] <= h["max_lat"], "InvalidHeader", "bounds")
     spans = [(h[f"{n}_offset"], h[f"{n}_length"], n) for n in ("root", "metadata", "leaf", "tile")]
     for at, n, name in spans:
-        need(at + n < 1 << 63, "InvalidHeader", f"{name} section")
-        need(not n or (at >= HEADER and at + n <= size), "InvalidHeader", f"{name} section outside the archive")
+        need(at + n < 1 << 63, "InvalidSection", f"{name} section is too long")
+        need(not n or (at >= HEADER and at + n <= size), "InvalidSection", f"{name} section outside the archive")
     full = sorted(s for s in spans if s[1])
-    need(all(a[0] + a[1] <= b[0] for a, b in zip(full, full[1:])), "InvalidHeader", "sections overlap")
-    need(h["root_offset"] + h["root_length"] <= FIRST_READ, "InvalidHeader", "root directory beyond the first 16 KiB")
+    need(all(a[0] + a[1] <= b[0] for a, b in zip(full, full[1:])), "OverlappingSections", "sections overlap")
+    need(h["root_length"] > 0, "EmptyRoot", "the root directory has no bytes")
+    need(h["root_offset"] + h["root_length"] <= FIRST_READ, "InvalidRootLocation", "root directory beyond the first 16 KiB")
     advise([s[2] for s in full] == [s[2] for s in spans if s[1]], "SectionOrder", "sections in another order")
     advise(h["addressed_tiles"] > 0 and h["tile_entries"] > 0 and h["tile_contents"] > 0, "UnknownCounts", "counts are not given")
     advise(h["tile_type"] in TILE_TYPES and h["tile_type"] != 0, "UnknownTileType", str(h["tile_type"]))
@@ -142,9 +146,11 @@ def varint(value: int) -> bytes:
     return bytes(out)
 
 
-def decode_directory(data: bytes) -> list[Entry]:
+def decode_directory(data: bytes, most: int = LIMITS["entries"]) -> list[Entry]:
     """Columns of id steps, run lengths, lengths and offsets, where 0 means next to the last."""
     (n,), at = varints(data, 1, 0)
+    if n > most:
+        raise ArchiveError("LimitExceeded", f"more than {most} entries")
     if n > len(data):
         raise ArchiveError("InvalidDirectory", "more entries than bytes")
     steps, at = varints(data, n, at)

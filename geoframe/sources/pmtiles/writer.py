@@ -7,6 +7,9 @@ the format asks for, and holds the entries only.
 from __future__ import annotations
 
 import json
+import os
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,8 +77,10 @@ def directories(entries: list[A.Entry], compress) -> tuple[bytes, bytes]:
 def write(tiles: DataFrame, path: str, metadata: str = "{}", tile_type: int = A.MVT, tile_compression: int = A.NONE, internal_compression: int = A.GZIP, bounds: tuple[float, float, float, float] = (-180.0, -85.0, 180.0, 85.0), codecs: dict | None = None) -> dict:
     """Write (z, x, y, payload) to one file and return its header.
 
-    Sections come in the order header, root, metadata, leaves, tiles. Payloads are stored as they
-    are. Nothing is written before all is checked.
+    ``path`` is local or has a scheme that pyarrow knows. Sections come in the order header, root,
+    metadata, leaves, tiles. Payloads are stored as they are and stream through the driver a
+    partition at a time; it holds the entries. Nothing is written before all is checked, and the
+    file appears when it is whole.
     """
     value = json.loads(metadata)
     if not isinstance(value, dict) or tile_type == A.MVT and not isinstance(value.get("vector_layers"), list):
@@ -104,8 +109,25 @@ def write(tiles: DataFrame, path: str, metadata: str = "{}", tile_type: int = A.
     header |= {"min_lon": w, "min_lat": s, "max_lon": e, "max_lat": n, "center_zoom": zooms[0], "center_lon": (w + e) / 2, "center_lat": (s + n) / 2}
     needed = tiles.sparkSession.createDataFrame([(i,) for i in first], "tile_id long")
     named = tiles.select(tile_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"), "payload").join(needed, "tile_id")
-    with open(path, "wb") as f:
+    with _sink(path) as f:
         f.write(A.encode_header(header) + root + meta + leaves)
         for r in named.orderBy("tile_id").toLocalIterator():
             f.write(bytes(r.payload))
     return header
+
+
+@contextmanager
+def _sink(path: str):
+    """A file beside the path that takes its name once it is whole; nothing is left where writing fails."""
+    from pyarrow import fs
+
+    files, own = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+    part = f"{own}.{uuid.uuid4().hex}"
+    try:
+        with files.open_output_stream(part) as f:
+            yield f
+        files.move(part, own)
+    except BaseException:
+        if files.get_file_info(part).type != fs.FileType.NotFound:
+            files.delete_file(part)
+        raise
