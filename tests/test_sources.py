@@ -102,13 +102,103 @@ def test_archive_errors(spark, tmp_path):
         pmtiles.write(twice.limit(1), str(tmp_path / "x"))
 
 
-def test_directories_and_leaves():
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """An archive whose directory needs leaves, the path and its tiles: (z, x, y, payload)."""
+    path = str(tmp_path_factory.mktemp("archive") / "wide.pmtiles")
+    rows = [(13, (k * 7919) % 8192, k % 8192, f"{k % 977}" * (1 + k % 3)) for k in range(20_000)]
+    rows = list({r[:3]: r for r in rows}.values())
+    tiles = spark.createDataFrame(rows, "z int, x long, y long, t string").select("z", "x", "y", F.col("t").cast("binary").alias("payload"))
+    pmtiles.write(tiles, path, tile_type=2, tile_compression=A.GZIP, codecs=None)
+    return path, rows
+
+
+def test_archive_with_leaves(spark, wide):
+    path, rows = wide
+    pmtiles.register(spark)
+    read = lambda view, **o: spark.read.format("pmtiles").options(path=path, view=view, **o).load()
+    h = read("header").first()
+    assert h.leaf_length > 0 and h.addressed_tiles == len(rows) and h.tile_contents == len({r[3] for r in rows}) and h.root_offset + h.root_length <= A.FIRST_READ
+    assert h.tile_length == sum(map(len, {r[3] for r in rows}))
+    got = read("tiles").select("z", "x", "y", F.col("payload").cast("string").alias("t"))
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+    one = rows[777]
+    assert [tuple(r) for r in got.filter((F.col("z") == one[0]) & (F.col("x") == one[1]) & (F.col("y") == one[2])).collect()] == [one]
+    assert got.filter("z = 5").count() == 0 and got.filter("z = 13 AND x = 99999 AND y = 0").count() == 0
+
+
+def test_places_are_pushed():
+    from pyspark.sql.datasource import EqualTo
+
+    from geoframe.sources.pmtiles.source import ArchiveReader
+
+    r = ArchiveReader({"path": "x"})
+    list(r.pushFilters([EqualTo(("z",), 3), EqualTo(("x",), 1), EqualTo(("y",), 2)]))
+    assert r.low == r.high == A.zxy_to_id(3, 1, 2)
+    r = ArchiveReader({"path": "x"})
+    list(r.pushFilters([EqualTo(("z",), 2)]))
+    assert (r.low, r.high) == (5, 20)
+
+
+def test_batch_of_tiles(spark, wide):
+    path, rows = wide
+    pmtiles.register(spark)
+    held = {r[:3]: r[3] for r in rows}
+    asked = [(k, *rows[k * 37 % len(rows)][:3]) for k in range(200)] + [(200 + k, 13, 8000, k) for k in range(50)] + [(900, 99, 0, 0), (901, 2, 7, 0), (902, None, 0, 0), (903, *rows[0][:3]), (904, *rows[0][:3])]
+    got = pmtiles.read_batch(spark, path, spark.createDataFrame(asked, "place long, z int, x long, y long")).collect()
+    assert sorted((r.place, r.z, r.x, r.y, None if r.payload is None else bytes(r.payload).decode()) for r in got) == sorted((*a, held.get(a[1:])) for a in asked)
+    assert pmtiles.read_batch(spark, path, spark.createDataFrame([], "place long, z int, x long, y long")).count() == 0
+
+
+@pytest.mark.parametrize("option, code", [("maxEntries", "LimitExceeded"), ("maxDirectoryBytes", "LimitExceeded"), ("maxDepth", "LimitExceeded")])
+def test_limits(spark, wide, option, code):
+    pmtiles.register(spark)
+    with pytest.raises(Exception, match=code):
+        spark.read.format("pmtiles").options(path=wide[0], view="tiles", **{option: "0" if option == "maxDepth" else "1"}).load().count()
+
+
+@pytest.mark.parametrize("field, value, code", [("root_length", 0, "EmptyRoot"), ("root_offset", 16_380, "InvalidRootLocation"), ("tile_offset", 10, "InvalidSection"), ("leaf_offset", 130, "OverlappingSections"), ("clustered", 7, "InvalidHeader"), ("max_zoom", 40, "InvalidHeader")])
+def test_header_rules(field, value, code):
+    good = dict.fromkeys(A.FIELDS, 0) | {"root_offset": 127, "root_length": 50, "leaf_offset": 200, "leaf_length": 10, "tile_offset": 300, "tile_length": 20, "internal_compression": 2, "tile_compression": 2, "tile_type": 1, "addressed_tiles": 1, "tile_entries": 1, "tile_contents": 1}
+    h, warnings = A.parse_header(A.encode_header(good), 1 << 20)
+    assert h["root_length"] == 50 and not warnings
+    with pytest.raises(A.ArchiveError) as e:
+        A.parse_header(A.encode_header(good | {field: value}), 1 << 20)
+    assert e.value.code == code
+
+
+def test_lenient_header():
+    odd = dict.fromkeys(A.FIELDS, 0) | {"root_offset": 127, "root_length": 50, "leaf_offset": 400, "leaf_length": 10, "tile_offset": 300, "tile_length": 20, "internal_compression": 9, "tile_type": 77}
+    _, warnings = A.parse_header(A.encode_header(odd), 1 << 20, strict=False)
+    assert [c for c, _ in warnings] == ["SectionOrder", "UnknownCounts", "UnknownTileType", "UnknownCompression", "UnstatedCompression"]
+    with pytest.raises(A.ArchiveError, match="UnknownCompression"):
+        A.parse_header(A.encode_header(odd), 1 << 20)
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    def broken(path):
+        raise OSError("full")
+
+    tiles = spark.createDataFrame([(0, 0, 0, b"a")], "z int, x long, y long, payload binary")
+    with pytest.raises(OSError):
+        pmtiles.write(tiles, str(tmp_path / "x"), tile_type=2, sink=broken)
+    assert not list(tmp_path.iterdir())
+
+
+def test_nested_collections(spark):
+    point = lambda k: f'{{"type":"Point","coordinates":[{k},0]}}'
+    deep = point(0)
+    for k in range(1, 7):
+        deep = f'{{"type":"GeometryCollection","geometries":[{deep},{point(k)}]}}'
+    texts = [deep, f'{{"type":"GeometryCollection","geometries":[{point(1)},{{"type":"GeometryCollection","geometries":[{{"type":"Point"}}]}}]}}', '{"type":"GeometryCollection","geometries":[]}', point(1)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, j string").select("k", geojson.geometries(F.col("j")).alias("g"))
+    got = {r.k: None if r.g is None else [x.parts[0][0][0][0] for x in r.g] for r in df.collect()}
+    assert got == {0: [0, 1, 2, 3, 4, 5, 6], 1: None, 2: [], 3: None}
+
+
+def test_directories():
     entries = [A.Entry(k * 3 + k % 2, (k * 7919) % 100003 * 10, 1 + k % 9, 1) for k in range(30000)]
     assert A.decode_directory(A.encode_directory(entries)) == entries
-    from geoframe.sources.pmtiles.writer import ROOT_BYTES, directories
-
-    root, leaves = directories(entries, A.COMPRESS[A.GZIP])
-    assert len(root) <= ROOT_BYTES and leaves
     for bad in (b"", b"\x01\x00", A.encode_directory(entries[:2]) + b"\x00"):
         with pytest.raises(A.ArchiveError):
             A.decode_directory(bad)
