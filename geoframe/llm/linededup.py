@@ -30,6 +30,7 @@ from .common import Saved, durable, map_texts, numbered, place, renamed, table,
 MIN_WORDS = 25
 LONG = (1 << 63) - 1
 ENDS = 20_000  # suffixes at the ends of slices that the driver reduces itself; more take another round
+SLICE = 10_000  # suffixes that are worth a partition of their own
 KEYS = ("k1", "k2", "k3")
 
 
@@ -48,15 +49,18 @@ def lines_of(text: bytes | None, min_words: int) -> list[dict]:
 # places in a sorted order, of groups that may span partitions
 
 
-def _ordered(df: DataFrame) -> tuple[Saved, DataFrame, int]:
+def _ordered(df: DataFrame, rows: int | None = None) -> tuple[Saved, DataFrame, int]:
     """Sort by (a, b, pos) and tell the groups of equal a and of equal (a, b).
 
+    ``rows`` is how many there are at most, if known; few rows take fewer partitions.
+
     Appends ``start_a`` and ``start_b``, the places of the first rows of a row's groups in the
     whole order, and ``alone``. Also returns the number of rows that aren't alone, or more. The
     driver gets one row a partition.
     """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts if rows is None else min(parts, rows // SLICE + 1)
     spread = df.repartitionByRange(parts, "a", "b", "pos").sortWithinPartitions("a", "b", "pos").withColumn("pid", F.spark_partition_id())
     schema = T.StructType([*spread.schema.fields, *T.StructType.fromDDL("i long, in_a long, in_b long, lone boolean, last boolean").fields])
     names = schema.names
@@ -124,34 +128,35 @@ def _corpus(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tupl
     return corpus, told.filter("NOT first").drop("first")
 
 
-def suffix_array(lines: DataFrame) -> tuple[DataFrame, list[Saved]]:
-    """(rank, pos, d, n, g, level) of all suffixes that share their first line with another, and the tables that hold it.
+def suffix_array(lines: DataFrame) -> Saved:
+    """(rank, pos, d, n, g, level) of all suffixes that share their first line with another.
 
     ``lines`` are (pos, d, n, h1, h2). ``rank`` is the place in the suffix array, ``g`` that of
     the first suffix with the same first line; 2^level lines tell the suffix from all others.
     """
     saved, told, tied = _ordered(lines.select(F.col("h1").alias("a"), F.col("h2").alias("b"), "pos", "d", "n"))
-    shared = Saved(told.filter("NOT alone").select("pos", "d", "n", F.col("start_b").alias("g"), F.col("start_b").alias("rank")))
+    state = Saved(told.filter("NOT alone").select("pos", "d", "n", F.col("start_b").alias("g"), F.col("start_b").alias("rank"), F.lit(False).alias("settled")))
     saved.drop()
-    open_, done, tables, size, level = shared.df, [], [shared], 1, 0
+    tables, size, level = [], 1, 0
+    done = state.df.drop("settled").withColumn("level", F.lit(0)).limit(0)
     while tied:
         level += 1
-        ranks = open_.select("pos", "rank")
-        for x in done:
-            ranks = ranks.unionByName(x.select("pos", "rank"))
-        next_ = ranks.select((F.col("pos") - size).alias("pos"), F.col("rank").alias("b"))
+        next_ = state.df.select((F.col("pos") - size).alias("pos"), F.col("rank").alias("b"))
         # No suffix goes on alike after a line that occurs once or after the end of a text.
-        pairs = open_.join(next_, "pos", "left").select(F.col("rank").alias("a"), F.coalesce("b", -1 - F.col("pos")).alias("b"), "pos", "d", "n", "g")
-        saved, told, tied = _ordered(pairs)
+        pairs = state.df.filter("NOT settled").join(next_, "pos", "left").select(F.col("rank").alias("a"), F.coalesce("b", -1 - F.col("pos")).alias("b"), "pos", "d", "n", "g")
+        saved, told, tied = _ordered(pairs, tied)
         tables.append(saved)
-        ranked = told.select("pos", "d", "n", "g", (F.col("a") + F.col("start_b") - F.col("start_a")).alias("rank"), "alone")
-        done.append(ranked.filter("alone").drop("alone").withColumn("level", F.lit(level)))
-        open_ = ranked.filter("NOT alone").drop("alone")
+        ranked = told.select("pos", "d", "n", "g", (F.col("a") + F.col("start_b") - F.col("start_a")).alias("rank"), F.col("alone").alias("settled"))
+        done = done.unionByName(ranked.filter("settled").drop("settled").withColumn("level", F.lit(level)))
+        if tied:  # ranks are looked up on in texts with suffixes that still share theirs
+            live = ranked.filter("NOT settled").select("d").distinct()
+            before, state = state, Saved(state.df.filter("settled").unionByName(ranked).join(live, "d", "left_semi"))
+            before.drop()
         size *= 2
-    out = shared.df.withColumn("level", F.lit(0)).limit(0)
-    for x in done:
-        out = out.unionByName(x)
-    return out, tables
+    array = Saved(done)
+    for x in [*tables, state]:
+        x.drop()
+    return array
 
 
 def common_prefixes(array: DataFrame, corpus: DataFrame) -> Saved:
@@ -263,10 +268,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     corpus, copies = _corpus(docs, id_col, text_col, min_words)
     lines = corpus.df.select("d", F.posexplode("lines").alias("at", "x")).select((F.col("d") + F.col("at")).alias("pos"), "d", "x.n", "x.h1", "x.h2")
-    array, rounds = suffix_array(lines)
-    prefixes = common_prefixes(array, corpus.df)
-    for x in rounds:
-        x.drop()
+    array = suffix_array(lines)
+    prefixes = common_prefixes(array.df, corpus.df)
+    array.drop()
     depths = repeated_before(prefixes.df).filter((F.col("depth") > 1) | (F.col("depth") == 1) & (F.col("n") >= min_words))
     runs = depths.groupBy("d").agg(F.collect_list(F.struct((F.col("pos") - F.col("d")).cast("int").alias("at"), F.col("depth").cast("int").alias("lines"))).alias("runs"))  # of one text
     held = corpus.df.join(runs, "d").select(*KEYS, F.transform("lines", lambda x: x["line"]).alias("line"), F.transform("lines", lambda x: x["n"]).alias("n"), "runs")
@@ -302,7 +306,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept, text = without(docs, "n_lines", "n_removed"), f"c{place(docs, text_col)}"
     masks = repeated_runs(docs, id_col, text_col, min_words)
     keys = {"k1": F.coalesce(F.col(f"c{place(docs, id_col)}").cast("long"), F.lit(LONG)), "k2": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "k3": F.xxhash64(F.lit(1), F.coalesce(F.col(text), F.lit("")))}
-    joined = numbered(docs).withColumns(keys).join(masks, list(KEYS), "left")
+    joined = numbered(docs).withColumns(keys).join(masks.hint("merge"), list(KEYS), "left")  # masks grow with the documents
     parts = F.split(F.col(text), "\n", -1)
     left = F.array_join(F.filter(parts, lambda x, k: ~F.coalesce(F.get(F.col("gone"), k), F.lit(False))), "\n")
     made = {
