@@ -260,3 +260,27 @@ def test_features_of_collections(spark, tmp_path):
     (tmp_path / "a.json").write_text(many + "\n" + none)
     geojson.write_lines(geojson.read_lines(spark, str(tmp_path / "a.json")).coalesce(1), str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == [many, none]
+
+
+def test_members_in_any_order(spark):
+    """Features by their types give what they give by their members, decoys and broken coordinates included."""
+    point = '"geometry":{"type":"Point","coordinates":[1,2]}'
+    texts = [
+        '{"type":"Feature",%s,"properties":{"a":1},"id":7,"bbox":[0,0,1,1]}' % point,
+        '{"type":"Feature","geometry":{"coordinates":[1,2],"type":"Point"},"properties":{"a":1},"id":7,"bbox":[0,0,1,1]}',
+        '{"properties":{"geometry":{"type":"Point","coordinates":[9]}},"type":"Feature","geometry":{"type":"LineString","coordinates":[[0,0],[1,1]]}}',
+        '{"properties":{"geometry":{"type":"Point"}},"type":"Feature","geometry":null}',
+        '{"type":"Feature","geometry":{"type":"Point","coordinates":[[1,2]]},"properties":null}',
+        '{"type":"Feature","geometry":{"type":"LineString","coordinates":[[1,2]]},"properties":null}',
+        '{"type":"Feature","geometry":{"type":"Point","coordinates":["x",2]},"properties":null}',
+        '{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2],"bbox":"no"},"properties":null}',
+        '{"type":"Feature","geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]]]},"properties":{},"id":"a"}',
+        '{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]}',
+        '{"type":"Feature","properties":null}',
+        '{"type":"Other",%s}' % point,
+    ]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, j string")
+    got = {r.k: r.f for r in df.select("k", geojson.feature_or_null(F.col("j")).alias("f")).collect()}
+    assert got[0] == got[1] and got[0].id == "7" and got[0].bbox == [0, 0, 1, 1] and got[0].geometry.parts == [[[[1, 2]]]]
+    assert got[2].geometry.type == "LineString" and got[3].geometry is None and got[8].id == '"a"' and got[8].geometry.type == "MultiPolygon"
+    assert all(got[k] is None for k in (4, 5, 6, 7, 9, 10, 11))
