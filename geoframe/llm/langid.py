@@ -129,3 +129,36 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = crc_mod(F.col("doc_id"), 4) == 2
     guessed = predict(docs.select("doc_id", "text"), train(docs.filter(~held)))
     return guessed.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+#: The CRC of a text of ASCII characters: eight steps a character.
+CRC_SQL = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END), CAST(4294967295 AS BIGINT))"""
+OP6_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, coalesce({CRC_SQL} % 4 = 2, false) AS held_out, ' ' || trim(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g')) || ' ' AS t FROM documents
+), chars AS (
+  SELECT k, string_split(t, '') AS c FROM docs WHERE length(t) > 2
+), grams AS (
+  SELECT k, unnest(c) AS g FROM chars UNION ALL
+  SELECT k, unnest(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])) FROM chars UNION ALL
+  SELECT k, unnest(list_transform(list_filter(range(1, len(c) - 1), lambda i: c[i + 1] <> ' '), lambda i: c[i] || c[i + 1] || c[i + 2])) FROM chars
+), counted AS (
+  SELECT k, g, count(*) AS n FROM grams WHERE g <> ' ' GROUP BY k, g
+), profiles AS (
+  SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(g), g) - 1 AS place FROM counted JOIN docs USING (k) WHERE lang IS NOT NULL AND NOT held_out GROUP BY lang, g QUALIFY place < {TOP}
+), worst AS (
+  SELECT max(place) + 1 AS worst FROM profiles
+), own AS (
+  SELECT k, g, row_number() OVER (PARTITION BY k ORDER BY n DESC, length(g), g) - 1 AS place FROM counted QUALIFY place < {TOP_DOC}
+), sizes AS (
+  SELECT k, count(*) AS size FROM own GROUP BY k
+), saved AS (
+  SELECT k, p.lang, sum(greatest(0, worst - abs(p.place - o.place))) AS saved FROM own o JOIN profiles p USING (g), worst GROUP BY k, p.lang
+), off AS (
+  SELECT k, l.lang, size, worst, worst * size - coalesce(saved, 0) AS off FROM sizes CROSS JOIN (SELECT DISTINCT lang FROM profiles) l CROSS JOIN worst LEFT JOIN saved USING (k, lang)
+), best AS (
+  SELECT k, lang, 1 - CAST(off AS DOUBLE) / CAST(worst * size AS DOUBLE) AS score FROM off QUALIFY row_number() OVER (PARTITION BY k ORDER BY off, lang) = 1
+)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0) AS score FROM docs LEFT JOIN best USING (k)
+"""

@@ -320,3 +320,28 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+#: Pairs of equal lines, of which one comes earlier, on one diagonal of two texts make up the common runs.
+OP8_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(0, len(ls))) AS line, unnest(ls) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), used AS (
+  SELECT doc_id, line, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS own, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
+         row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k
+  FROM lines WHERE regexp_matches(x, '[^\x20\x09-\x0D]')
+), pairs AS (
+  SELECT a.doc_id, a.k, a.line, a.n, b.doc_id AS other, a.k - b.k AS diagonal
+  FROM used a JOIN used b ON a.own = b.own AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.k < a.k)
+), islands AS (
+  SELECT *, k - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY k) AS island FROM pairs
+), runs AS (
+  SELECT DISTINCT doc_id, min(line) AS a, max(line) AS b FROM islands GROUP BY doc_id, other, diagonal, island HAVING sum(n) >= 25
+), gone AS (
+  SELECT DISTINCT doc_id, line FROM runs JOIN lines USING (doc_id) WHERE line BETWEEN a AND b
+), left_ AS (
+  SELECT doc_id, count(*) FILTER (gone.line IS NOT NULL) AS n_removed, count(*) AS n_lines, string_agg(x, chr(10) ORDER BY line) FILTER (gone.line IS NULL) AS x
+  FROM lines LEFT JOIN gone USING (doc_id, line) GROUP BY doc_id
+)
+SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE n_lines END AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, md5(coalesce(x, '')) AS text_md5 FROM documents JOIN left_ USING (doc_id)
+"""

@@ -17,4 +17,11 @@ QUERIES = {
         classifier.op10_quality_classifier,
     )
 }
-ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op2_url_filters": urls.OP2_SQL, "op4_exact_top_k": topk.OP4_SQL, "op7_quality_rules": quality.OP7_SQL}
+ORACLE_SQL = {
+    "op1_mixing": mixing.OP1_SQL,
+    "op2_url_filters": urls.OP2_SQL,
+    "op4_exact_top_k": topk.OP4_SQL,
+    "op6_language_id": langid.OP6_SQL,
+    "op7_quality_rules": quality.OP7_SQL,
+    "op8_line_dedup": linededup.OP8_SQL,
+}
