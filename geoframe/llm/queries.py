@@ -24,4 +24,5 @@ ORACLE_SQL = {
     "op6_language_id": langid.OP6_SQL,
     "op7_quality_rules": quality.OP7_SQL,
     "op8_line_dedup": linededup.OP8_SQL,
+    "op9_simhash": simhash.OP9_SQL,
 }

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, map_texts, numbered, place, table
 from .components import components
+from .xxh_sql import hashed
 
 SEED = 42  # of the shingles' XXH64
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -219,3 +220,26 @@ def signed(x: int) -> int:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+OP9_SQL = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingled AS (
+  SELECT k, unnest(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN [w[1]] WHEN 2 THEN [w[1] || ' ' || w[2]] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS x FROM docs
+), {hashed('shingled', SEED)},
+sums AS (
+  SELECT k, count(*) AS n, {', '.join(f'sum(CAST((h >> {b}) & 1 AS BIGINT)) AS s{b}' for b in range(64))} FROM shingled JOIN hashed USING (x) GROUP BY k
+), marked AS (
+  SELECT doc_id, CAST(coalesce({' + '.join(f'CASE WHEN 2 * s{b} > n THEN CAST({1 << b} AS HUGEINT) ELSE 0 END' for b in range(64))}, 0) AS UBIGINT) AS fp FROM docs LEFT JOIN sums USING (k)
+), fps AS (
+  SELECT fp, min(doc_id) AS least FROM marked GROUP BY fp
+), links AS (
+  SELECT a.fp AS a, b.fp AS b FROM fps a JOIN fps b ON a.fp <> b.fp AND bit_count(CAST(xor(a.fp, b.fp) AS HUGEINT)) <= 3
+), reach(a, b) AS (
+  SELECT fp, fp FROM fps UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), named AS (
+  SELECT a AS fp, min(least) AS component_id FROM reach JOIN fps ON fps.fp = reach.b GROUP BY a
+)
+SELECT doc_id, lpad(lower(hex(fp)), 16, '0') AS fingerprint, component_id FROM marked JOIN named USING (fp)
+"""
