@@ -62,8 +62,11 @@ class Saved:
         self._at = jvm.org.apache.hadoop.fs.Path(self.path)
         self._files = self._at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._files.deleteOnExit(self._at)
-        df.write.parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
+        void = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]  # Parquet has no such type
+        held = df.withColumns({c: F.col(c).cast("string") for c in void}) if void else df
+        held.write.parquet(self.path)
+        read = spark.read.schema(held.schema).parquet(self.path)
+        self.df = read.withColumns({c: F.lit(None) for c in void}) if void else read
 
     def drop(self) -> None:
         self._files.delete(self._at, True)

@@ -17,7 +17,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def odd(docs):
-    return docs.select("*", *[F.lit(k) for k in range(len(NAMES))]).toDF(*docs.columns, *NAMES)
+    return docs.select("*", *[F.lit(k) for k in range(len(NAMES))], F.lit(None)).toDF(*docs.columns, *NAMES, "of no type")
 
 
 OPERATORS = {

@@ -377,7 +377,7 @@ def test_line_dedup(docs, empty):
     assert linededup.remove_repeated_lines(docs).count() == docs.count() and linededup.remove_repeated_lines(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(1))
 def test_long_runs(spark, seed):
     """Runs far longer than the threshold, runs of one line, copies of whole texts, over few distinct lines."""
     random.seed(seed)
