@@ -211,11 +211,19 @@ def tiles(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.lit(14).alias("z"), (k % 128).alias("x"), F.floor(k / 128).alias("y"), F.concat(F.lit("payload "), F.floor(k / 16) % 40).cast("binary").alias("payload"))
 
 
+ARCHIVES: dict[tuple[str, str], str] = {}
+
+
 def archive(spark: SparkSession, d: str, **options) -> str:
-    """The path of an archive of ``tiles``, in a folder that executors reach."""
+    """The path of an archive of ``tiles``, in a folder that executors reach; the plain one is written once an application."""
+    pmtiles.register(spark)
+    known = spark.sparkContext.applicationId, d
+    if not options and known in ARCHIVES:
+        return ARCHIVES[known]
     path = f"{scratch(spark)}/tiles.pmtiles".removeprefix("file:")
     pmtiles.write(tiles(spark, d), path, **({"metadata": '{"name":"n","vector_layers":[]}', "tile_type": 1} | options))
-    pmtiles.register(spark)
+    if not options:
+        ARCHIVES[known] = path
     return path
 
 
