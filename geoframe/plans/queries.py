@@ -227,12 +227,18 @@ def explode_points(spark, d):
     return e.select("id", F.col("place").cast("long").alias("place"), F.round(G.lon(F.col("p")), 6).alias("lon"), F.round(G.lat(F.col("p")), 6).alias("lat"))
 
 
-@query("combine_by_type", "SELECT (SELECT count(*) FROM customer) AS points, (SELECT count(*) FROM customer) AS lines, (SELECT count(*) FROM supplier) AS polygons, (SELECT count(*) * 6 FROM customer) AS line_positions")
+@query(
+    "combine_by_type",
+    f"""WITH p AS ({POINTS}), l AS ({LINES_SQL}), b AS ({BOXES}), r AS (SELECT {RING} AS ring FROM b)
+    SELECT (SELECT count(*) FROM p) AS points, (SELECT count(*) FROM l) AS lines, (SELECT count(*) FROM b) AS polygons, (SELECT round(sum(x1 * y1), 2) FROM p) AS point_sum,
+    (SELECT round(sum(list_sum(list_transform(line, lambda q: q[1] * q[2]))), 2) FROM l) AS line_sum, (SELECT round(sum(list_sum(list_transform(ring, lambda q: q[1] * q[2]))), 2) FROM r) AS polygon_sum""",
+)
 def combine_by_type(spark, d):
     gs = points(spark, d).select(G.point(_a()).alias("geometry")).unionByName(lines(spark, d).select(G.line_string(F.col("line")).alias("geometry"))).unionByName(boxes(spark, d).select(F.col("polygon").alias("geometry")))
     made = C.combine(gs)
     count = lambda c: F.size(G.children(F.col(c))).cast("long").alias(c)
-    return made.select(count("points"), count("lines"), count("polygons"), F.size(G.coordinates(F.col("lines"))).cast("long").alias("line_positions"))
+    total = lambda c, n: F.round(F.aggregate(G.coordinates(F.col(c)), F.lit(0.0), lambda s, p: s + G.lon(p) * G.lat(p)), 2).alias(n)
+    return made.select(count("points"), count("lines"), count("polygons"), total("points", "point_sum"), total("lines", "line_sum"), total("polygons", "polygon_sum"))
 
 
 @query("line_to_polygon", f"WITH l AS ({LINES_SQL}) SELECT id, CAST(7 AS BIGINT) AS positions, round(line[1][1], 6) AS last_lon FROM l")
@@ -325,10 +331,15 @@ def circle(spark, d):
     return e.select("id", F.col("place").cast("long").alias("place"), F.round(G.lon(F.col("p")), 5).alias("lon"), F.round(G.lat(F.col("p")), 5).alias("lat"))
 
 
-@query("square_grid", f"WITH b AS ({BOXES}), g AS (SELECT bid, 2 * w AS side, CAST(50000 AS DOUBLE) / ({R} * pi() / 180) AS c FROM b) SELECT bid, CAST(floor(side / c) * floor(side / c) AS BIGINT) AS cells FROM g WHERE floor(side / c) > 0")
+GRID_STEP = f"(CAST(50000 AS DOUBLE) / ({R} * pi() / 180))"
+
+
+@query("square_grid", f"WITH b AS ({BOXES}), g AS (SELECT bid, w, CAST(floor(2 * w / {GRID_STEP}) AS BIGINT) AS n FROM b) SELECT bid, CAST(col AS INTEGER) AS col, CAST(row_ AS INTEGER) AS row_, round(-w + (2 * w - n * {GRID_STEP}) / 2 + col * {GRID_STEP}, 6) AS west, round(-w + (2 * w - n * {GRID_STEP}) / 2 + (row_ + 1) * {GRID_STEP}, 6) AS north FROM g, LATERAL (SELECT unnest(range(0, n)) AS col) c, LATERAL (SELECT unnest(range(0, n)) AS row_) r WHERE n > 0")
 def square_grid(spark, d):
     b = boxes(spark, d)
-    return X.square_grid(b.select("bid", F.array(F.lit(0.0) - F.col("w"), F.lit(0.0) - F.col("w"), F.col("w"), F.col("w")).alias("box")), F.col("box"), 50000.0).groupBy("bid").agg(F.count("*").alias("cells"))
+    cells = X.square_grid(b.select("bid", F.array(F.lit(0.0) - F.col("w"), F.lit(0.0) - F.col("w"), F.col("w"), F.col("w")).alias("box")), F.col("box"), 50000.0)
+    box = M.compute_bbox(F.col("cell"))
+    return cells.select("bid", "col", F.col("row").alias("row_"), box.alias("b")).select("bid", "col", "row_", F.round(M.west(F.col("b")), 6).alias("west"), F.round(M.north(F.col("b")), 6).alias("north"))
 
 
 @query(
@@ -488,10 +499,16 @@ def tile_id(spark, d):
     return tiles(spark, d).select("id", T.tile_id(F.col("z"), F.col("x"), F.col("y")).alias("tile"))
 
 
-@query("tile_zxy", f"WITH t AS ({TILES}) SELECT id, z, x, y FROM t")
+UNROLL = """list_reduce(list_concat([{'x': CAST(0 AS BIGINT), 'y': CAST(0 AS BIGINT), 't': id - ((CAST(1 AS BIGINT) << CAST(2 * z AS INTEGER)) - 1) // 3, 's': CAST(0 AS BIGINT)}], list_transform(range(0, z), lambda k: {'x': CAST(0 AS BIGINT), 'y': CAST(0 AS BIGINT), 't': CAST(0 AS BIGINT), 's': CAST(1 AS BIGINT) << CAST(k AS INTEGER)})),
+ lambda a, b: {'x': b.s * ((a.t >> 1) & 1) + CASE WHEN (a.t & 1) = ((a.t >> 1) & 1) THEN CASE WHEN (a.t >> 1) & 1 = 1 THEN b.s - 1 - a.y ELSE a.y END ELSE a.x END,
+ 'y': b.s * xor(a.t & 1, (a.t >> 1) & 1) + CASE WHEN (a.t & 1) = ((a.t >> 1) & 1) THEN CASE WHEN (a.t >> 1) & 1 = 1 THEN b.s - 1 - a.x ELSE a.x END ELSE a.y END, 't': a.t >> 2, 's': b.s})"""
+
+
+@query("tile_zxy", f"WITH t AS (SELECT o_orderkey * 104729 AS id FROM orders), z AS (SELECT id, len(list_filter(range(0, 32), lambda k: ((CAST(1 AS HUGEINT) << CAST(2 * k AS INTEGER)) - 1) // 3 <= id)) - 1 AS z FROM t), u AS (SELECT id, z, {UNROLL} AS p FROM z) SELECT id, CAST(z AS BIGINT) AS z, p.x AS x, p.y AS y FROM u")
 def tile_zxy(spark, d):
-    made = tiles(spark, d).select("id", T.tile_zxy(T.tile_id(F.col("z"), F.col("x"), F.col("y"))).alias("t"))
-    return made.select("id", F.col("t.z").cast("long").alias("z"), "t.x", "t.y")
+    """Any ids to their places."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") * 104729).alias("id"))
+    return o.select("id", T.tile_zxy(F.col("id")).alias("t")).select("id", F.col("t.z").cast("long").alias("z"), "t.x", "t.y")
 
 
 @query(
