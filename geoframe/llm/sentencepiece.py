@@ -26,15 +26,22 @@ NEVER = float("inf")
 
 
 class Kept(dict):
-    """Values that a function makes of short chunks when first asked for, KEPT_CHUNKS at most."""
+    """Values that a function makes of short chunks when first asked for, KEPT_CHUNKS at most.
+
+    When half of that is held, it becomes the older half and the one before goes; what is asked
+    for again moves on, so frequent chunks stay.
+    """
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, chunk: str):
-        got = self.make(chunk)
+        got = self.older.get(chunk)
+        if got is None:
+            got = self.make(chunk)
         if len(chunk) <= SHORT:
-            if len(self) >= KEPT_CHUNKS:
+            if len(self) >= KEPT_CHUNKS // 2:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = got
         return got
@@ -298,11 +305,13 @@ class Model:
         """Number of ids of a chunk, the ids as text, their decoding inside a text, and the
         lengths of their spans, as 32-bit numbers, where the chunk's marks stand for blanks."""
         ids, spans = self.merge(chunk)
-        wide, k = [], 0
-        for n in spans:
-            wide.append(len(chunk[k : k + n].replace(SPACE, " ").encode()))
-            k += n
-        sizes = np.array(wide, "<u4").tobytes()
+        if not chunk.lstrip(SPACE).isascii():  # else a character is a byte, and so is the blank of a mark
+            wide, k = [], 0
+            for n in spans:
+                wide.append(len(chunk[k : k + n].replace(SPACE, " ").encode()))
+                k += n
+            spans = wide
+        sizes = struct.pack(f"<{len(spans)}I", *spans)
         try:
             plain = b"".join([self.plain[i] for i in ids])
         except TypeError:  # bytes decode together; another piece before them keeps a leading blank
@@ -316,22 +325,24 @@ class Model:
         if not self.bytes or SPACE not in self.ids or self.squeeze or self.map.units or SPACE.encode() in data:
             own = self.encode_spans(data)  # pieces or blanks may join across chunks, or a mark be no blank
             ids = [i for i, _, _ in own]
-            return len(ids), sha(",".join(map(str, ids)).encode()), sha(self.decode(ids)), span_digest(np.array([x[1:] for x in own], "<u8").reshape(-1, 2))
+            return len(ids), sha(",".join(map(str, ids)).encode()), sha(self.decode(ids)), span_digest(np.array([x[1:] for x in own], "<u4").reshape(-1, 2))
         chunks = self.chunk.findall(self.normalise(data)[0])
         counts, ids, texts, sizes = zip(*map(self.digests.__getitem__, chunks)) if chunks else ((), (), (), ())
         plain = b"".join(texts)
         if self.dummy and plain.startswith(b" "):
             plain = plain[1:]
-        wide = np.frombuffer(b"".join(sizes), "<u4").astype("<u8")
+        wide = np.frombuffer(bytearray().join(sizes), "<u4")
         if self.dummy and len(wide):  # the mark that was put before the text covers none of it
             wide[0] -= len(mark.replace(SPACE, " "))
-        ends = np.cumsum(wide, dtype="<u8")
-        return sum(counts), sha(",".join(ids).encode()), sha(plain), span_digest(np.stack([ends - wide, ends], 1))
+        spans = np.empty((len(wide), 2), "<u4")
+        np.cumsum(wide, out=spans[:, 1])
+        np.subtract(spans[:, 1], wide, out=spans[:, 0])
+        return sum(counts), sha(",".join(ids).encode()), sha(plain), span_digest(spans)
 
 
 def span_digest(spans: np.ndarray) -> str:
-    """SHA-256 of the spans (begin, end), one after the other, as 64-bit numbers, the low byte first."""
-    return sha(np.ascontiguousarray(spans, "<u8").tobytes())
+    """SHA-256 of the spans (begin, end), one after the other, as 32-bit numbers, the low byte first."""
+    return sha(np.ascontiguousarray(spans, "<u4").tobytes())
 
 
 def sha(data: bytes) -> str:
@@ -371,6 +382,13 @@ def _model(docs: DataFrame, path: str | None):
     return docs.sparkSession.sparkContext.broadcast(read_model(path))  # a model file, of fixed size
 
 
+def model_of(shared) -> Model:
+    """The model of a broadcast file; a Python worker keeps it, and its chunks, from one task to the next."""
+    if not hasattr(shared, "model"):
+        shared.model = Model(shared.value)
+    return shared.model
+
+
 def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text") -> DataFrame:
     """Append ``pieces``, an array of (id, begin, end) with byte spans of the original text.
 
@@ -381,7 +399,7 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
     shared = _model(docs, model_path)
 
     def each():
-        model = Model(shared.value)
+        model = model_of(shared)
         return lambda text: ([{"id": i, "begin": b, "end": e} for i, b, e in model.encode_spans(text or b"")],)
 
     return map_texts(docs, each, "pieces array<struct<id:int,begin:int,end:int>>", text_col)
@@ -397,7 +415,7 @@ def decode(df: DataFrame, model_path: str | None = None, ids_col: str = "ids") -
     shared = _model(df, model_path)
 
     def each():
-        model = Model(shared.value)
+        model = model_of(shared)
         return lambda ids: (model.decode([int(x) for x in ids.split(b",")] if ids else []).decode(),)
 
     kept, plain = without(df, "decoded"), numbered(df)
@@ -415,7 +433,7 @@ def digests(docs: DataFrame, model_path: str | None = None, text_col: str = "tex
     shared = _model(docs, model_path)
 
     def each():
-        model = Model(shared.value)
+        model = model_of(shared)
         return lambda text: model.digest(text or b"")
 
     return map_texts(docs, each, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", text_col)

@@ -119,7 +119,7 @@ def test_sentencepiece(docs, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=sp.default_model())
     for r in sp.digests(docs.withColumn("t", F.col("text"))).collect():
         ids = library.encode(r.t or "")
-        spans = np.array([(p.begin, p.end) for p in library.encode(r.t or "", return_type="proto").pieces], "<u8")
+        spans = np.array([(p.begin, p.end) for p in library.encode(r.t or "", return_type="proto").pieces], "<u4")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sp.sha(",".join(map(str, ids)).encode()), sp.sha(library.decode(ids).encode()))
         assert r.spans_sha256 == sp.sha(spans.tobytes())
     rows = sp.encode(docs.withColumn("t", F.col("text")))
