@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,7 +65,8 @@ class Saved:
         self._files.deleteOnExit(self._at)
         void = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]  # Parquet has no such type
         held = df.withColumns({c: F.col(c).cast("string") for c in void}) if void else df
-        held.write.parquet(self.path)
+        with small_batches(spark):
+            held.write.parquet(self.path)
         read = spark.read.schema(held.schema).parquet(self.path)
         self.df = read.withColumns({c: F.lit(None) for c in void}) if void else read
 
@@ -86,6 +88,18 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: str = "8m") -> Iterator[None]:
+    """For what runs inside, Spark hands Python batches of few bytes; the session's own setting comes back after it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows as a table in the shared folder, which goes when the application ends."""
     return Saved(df).df
@@ -94,6 +108,15 @@ def durable(df: DataFrame) -> DataFrame:
 # Python over whole texts
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that few are Python objects at once; what the batches held goes back to the system at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(df: DataFrame, each: Callable[[], Callable[..., tuple]], columns: str, *text_cols: str) -> DataFrame:
     """Append columns that a Python function computes from one or more whole texts of a row.
 
@@ -113,11 +136,9 @@ def map_texts(df: DataFrame, each: Callable[[], Callable[..., tuple]], columns:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = each()
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(at, BATCH_ROWS)
-                rows = [call(*x) for x in zip(*(c.to_pylist() for c in batch.columns[n:]))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(list(x), kind) for x, kind in zip(zip(*rows), types)]], names=[*held, *names])
+        for batch in slices(batches):
+            rows = [call(*x) for x in zip(*(c.to_pylist() for c in batch.columns[n:]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(list(x), kind) for x, kind in zip(zip(*rows), types)]], names=[*held, *names])
 
     return renamed(source.mapInArrow(run, out), df, kept, *names)
 

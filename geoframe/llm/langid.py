@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, crc_mod, map_texts, numbered, place, table
+from .common import crc_mod, map_texts, numbered, place, slices, small_batches, table
 
 TOP = 400  # n-grams of a language's profile
 TOP_DOC = 300  # most frequent n-grams of a document
@@ -58,7 +58,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code), pa.array(n)], names=["lang", "code", "n"])
             sums.clear()
 
-        for batch in (whole.slice(k, BATCH_ROWS) for whole in batches for k in range(0, whole.num_rows, BATCH_ROWS)):
+        for batch in slices(batches):
             by: dict[str, list[np.ndarray]] = {}
             held = 0
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -94,7 +94,8 @@ def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", top_do
     Repeated rows are judged alike. The text goes; columns named like a result, in any case, are
     replaced and all others carried along.
     """
-    rows = profiles.collect()  # at most TOP rows a language
+    with small_batches(docs.sparkSession):
+        rows = profiles.collect()  # at most TOP rows a language
     langs = sorted({r.lang for r in rows})
     codes = np.array(sorted({r.code for r in rows}), np.int64)
     worst = max([r.rank for r in rows], default=0) + 1

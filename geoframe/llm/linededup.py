@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Saved, durable, map_texts, numbered, place, renamed, table, without
+from .common import Saved, durable, map_texts, numbered, place, renamed, slices, table, without
 
 MIN_WORDS = 25
 LONG = (1 << 63) - 1
@@ -276,7 +276,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = corpus.df.join(runs, "d").select(*KEYS, F.transform("lines", lambda x: x["line"]).alias("line"), F.transform("lines", lambda x: x["n"]).alias("n"), "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             masks = []
             for line, n, own in zip(*(c.to_pylist() for c in batch.columns[3:])):
                 words, mask, done = np.r_[0, np.cumsum(n)], np.zeros(line[-1] + 1, bool), -1

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import durable, map_texts, numbered, place, renamed, without
+from .common import durable, map_texts, numbered, place, renamed, slices, without
 from .components import components
 from .simhash import SEED, TO_LOWER, signed
 
@@ -96,7 +96,7 @@ def links(sets: DataFrame, hot: int = HOT) -> DataFrame:
             if moved.any():
                 yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], names=["u", "v"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for *now, own, bands, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if now != key:
                     if len(held) > 1:

@@ -65,12 +65,12 @@ def test_stages(spark, docs, odd, stage):
 
 
 def test_settings_stay(spark, docs):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
+    told = lambda: {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.shuffle.partitions")}
+    before = told()
     for f in OPERATORS.values():
         f(docs).count()
     rows = docs.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("weights"))
-    assert topk.top_k(rows, rows).count() == 25 and spark.conf.get(key) == before
+    assert topk.top_k(rows, rows).count() == 25 and told() == before
 
 
 def test_saved_tables_go(spark, docs):
