@@ -20,7 +20,8 @@ def in_ring(p: Column, ring: Column, ignore_boundary: bool | Column = False) ->
 
     def edge(i: Column, j: Column) -> Column:
         xi, yi, xj, yj = lon(i), lat(i), lon(j), lat(j)
-        on = (y * (xi - xj) + yi * (xj - x) + yj * (x - xi) == 0) & ((xi - x) * (xj - x) <= 0) & ((yi - y) * (yj - y) <= 0)
+        level = (yi == y) & (yj == y)  # the products of a level edge needn't add up to zero
+        on = (level | (y * (xi - xj) + yi * (xj - x) + yj * (x - xi) == 0)) & ((xi - x) * (xj - x) <= 0) & ((yi - y) * (yj - y) <= 0)
         cross = ((yi > y) != (yj > y)) & (x < (xj - xi) * (y - yi) / F.when(yj != yi, yj - yi) + xi)
         return F.struct(on.alias("on"), F.coalesce(cross, F.lit(False)).alias("cross"))
 

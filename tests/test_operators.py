@@ -57,3 +57,18 @@ def test_collections(spark):
     assert [round(v, 6) for v in moved.bbox] == [1, 2, 1, 2]
     c = C.combine(df).first()
     assert c.points.type == "MultiPoint" and c.lines.parts == [[]] and c.polygons.parts == []
+
+
+def test_points_on_level_edges(spark):
+    """The cross products of a level edge at 0.7 add up to 4e-17 or -6e-17 instead of zero."""
+    box = M.bbox_polygon(M.box(0.1, 0.2, 0.8, 0.7))
+    tent = G.polygon_of([(0.1, 0.7), (0.4, 0.2), (0.8, 0.7), (0.1, 0.7)])
+    hole = G.polygon_of([(-5, -5), (5, -5), (5, 5), (-5, 5), (-5, -5)], [(0.1, 0.2), (0.8, 0.2), (0.8, 0.7), (0.1, 0.7), (0.1, 0.2)])
+    shapes = [("box", box), ("tent", tent), ("hole", hole)]
+    polygons = spark.range(3).select(F.element_at(F.array(*[F.struct(F.lit(name).alias("name"), shape.alias("geometry")) for name, shape in shapes]), (F.col("id") + 1).cast("int")).alias("s")).select("s.*")
+    at = [(1, 0.2, 0.7), (2, 0.8, 0.7), (3, 0.4, 0.5), (4, 0.9, 0.7), (5, 0.2, 0.2)]
+    points = spark.createDataFrame(at, "k int, x double, y double").select("k", G.point_lonlat(F.col("x"), F.col("y")).alias("geometry"))
+    pairs = lambda strict: {(r.k, r.name) for r in J.points_in_polygons(points, polygons, ignore_boundary=strict).select("point.k", "polygon.name").collect()}
+    assert pairs(False) == {(1, "box"), (2, "box"), (3, "box"), (5, "box"), (1, "tent"), (2, "tent"), (3, "tent"), (1, "hole"), (2, "hole"), (4, "hole"), (5, "hole")}
+    assert pairs(True) == {(3, "box"), (3, "tent"), (4, "hole")}
+    assert {r.k for r in J.filter_inside(points, polygons.filter("name = 'box'"), "k").collect()} == {1, 2, 3, 5}
