@@ -47,21 +47,40 @@ def _ref(alias: str, name: str) -> Column:
     return F.col(f"{alias}.{name}")
 
 
+def _is_box(g: Column, b: Column) -> Column:
+    """Whether a polygon is one ring around its box, counter-clockwise from the south-west."""
+    corners = ((M.west, M.south), (M.east, M.south), (M.east, M.north), (M.west, M.north), (M.west, M.south))
+    return F.coalesce(g["parts"] == F.array(F.array(F.array(*[F.array(x(b), y(b)) for x, y in corners]))), F.lit(False))
+
+
+def _held(points: DataFrame, polygons: DataFrame, point: str, polygon: str, ignore_boundary: bool, how: str) -> DataFrame:
+    """The join of ``point`` and ``polygon`` structs; ``how`` is inner or left_semi, which may give a point more than once.
+
+    What each pair of a cell needs stands in flat columns. Polygons that are their box are joined
+    by themselves, as the walk along rings keeps a whole join from being compiled.
+    """
+    boxed = polygons.select(F.struct("*").alias("polygon"), M.bbox_or_computed(F.col(polygon)).alias("box")).filter("box IS NOT NULL")
+    b = F.col("box")
+    right = boxed.select("polygon", M.west(b).alias("w"), M.south(b).alias("s"), M.east(b).alias("e"), M.north(b).alias("n"), _is_box(F.col(f"polygon.{polygon}"), b).alias("plain"), F.explode(_box_cells(b, box_level(b))).alias("cell"))
+    right = right.select("polygon", "w", "s", "e", "n", "plain", "cell.*").alias("r")
+    left = points.select(F.struct("*").alias("point"), only_position(F.col(point)).alias("p")).filter("p IS NOT NULL")
+    left = left.select("point", "p", lon(F.col("p")).alias("x"), lat(F.col("p")).alias("y"), F.explode(_levels(boxed, box_level(b))).alias("level")).repartition("x", "y")  # a small file may hold points of many pairs
+    left = left.withColumns({"cx": _cell(F.col("x"), F.col("level")), "cy": _cell(F.col("y"), F.col("level"))}).alias("l")
+    w, s, e, n, x, y = F.col("r.w"), F.col("r.s"), F.col("r.e"), F.col("r.n"), F.col("l.x"), F.col("l.y")
+    same = (F.col("l.level") == F.col("r.level")) & (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy"))
+    inside = (w <= x) & (s <= y) & (e >= x) & (n >= y)
+    in_box = inside & (w < x) & (s < y) & (e > x) & (n > y) if ignore_boundary else inside
+    in_ring = inside & contains(F.col(f"r.polygon.{polygon}"), F.col("l.p"), ignore_boundary)
+    made = ["l.point"] if how == "left_semi" else ["l.point", "r.polygon"]
+    return left.join(right.filter("plain"), same & in_box, how).select(*made).union(left.join(right.filter("NOT plain"), same & in_ring, how).select(*made))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, point: str = "geometry", polygon: str = "geometry", ignore_boundary: bool = False) -> DataFrame:
     """All pairs of a Point row and a polygon row that holds it, as structs ``point`` and ``polygon``.
 
     Rows with a null geometry meet nothing. Every pair comes once, as it shares one cell.
     """
-    boxed = polygons.select(F.struct("*").alias("polygon"), M.bbox_or_computed(F.col(polygon)).alias("box")).filter("box IS NOT NULL")
-    right = boxed.withColumn("cell", F.explode(_box_cells(F.col("box"), box_level(F.col("box"))))).alias("r")
-    left = points.select(F.struct("*").alias("point"), only_position(F.col(point)).alias("p")).filter("p IS NOT NULL")
-    left = left.withColumn("level", F.explode(_levels(boxed, box_level(F.col("box")))))
-    at = F.struct(F.col("level"), _cell(lon(F.col("p")), F.col("level")).alias("cx"), _cell(lat(F.col("p")), F.col("level")).alias("cy"))
-    left = left.withColumn("cell", at).alias("l")
-    b, p = F.col("r.box"), F.col("l.p")
-    inside = (M.west(b) <= lon(p)) & (M.south(b) <= lat(p)) & (M.east(b) >= lon(p)) & (M.north(b) >= lat(p))
-    pairs = left.join(right, (F.col("l.cell") == F.col("r.cell")) & inside)
-    return pairs.filter(contains(F.col(f"r.polygon.{polygon}"), p, ignore_boundary)).select("l.point", "r.polygon")
+    return _held(points, polygons, point, polygon, ignore_boundary, "inner")
 
 
 def filter_inside(points: DataFrame, polygons: DataFrame, key: str, point: str = "geometry", polygon: str = "geometry") -> DataFrame:
@@ -71,7 +90,7 @@ def filter_inside(points: DataFrame, polygons: DataFrame, key: str, point: str =
     """
     each = points.select(F.col(key).alias("__k"), F.posexplode(coordinates(F.col(point))).alias("at", "p"))
     each = each.select("__k", "at", F.struct(F.lit("Point").alias("type"), F.array(F.array(F.array("p"))).alias("parts"), F.lit(None).cast("array<double>").alias("bbox")).alias("geometry"))
-    hit = points_in_polygons(each, polygons, "geometry", polygon).select("point.__k", "point.at", only_position(F.col("point.geometry")).alias("p")).distinct()
+    hit = _held(each, polygons, "geometry", polygon, False, "left_semi").select("point.__k", "point.at", only_position(F.col("point.geometry")).alias("p")).distinct()
     kept = hit.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("__ps"))
     joined = points.join(kept, points[key] == kept["__k"])
     left = F.transform("__ps", lambda x: x["p"])
