@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 import struct
 
 import numpy as np
@@ -20,7 +21,7 @@ from .common import map_texts, numbered, place, renamed, table, without
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
-KEPT_CHUNKS = 200_000
+KEPT_CHUNKS = 400_000
 SHORT = 64  # characters of a chunk that is kept, and merged by scans instead of a heap
 NEVER = float("inf")
 
@@ -99,14 +100,25 @@ class Model:
         self.unknown_text = trainer.unk_surface.encode()
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             self.chunk = re.compile(r".+", re.S)
-        elif any("\n" in p for p in self.ids if len(p) > 1):
-            self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         else:
-            self.chunk = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+            end = "" if any("\n" in p for p in self.ids if len(p) > 1) else "\n"
+            signs = re.escape("".join(sorted(self._signs())))
+            word = f"[^{SPACE}{end}{signs}]+"
+            signed = f"{SPACE}*[{signs}]*{word}|{SPACE}*[{signs}]+" if signs else f"{SPACE}*{word}"
+            self.chunk = re.compile(f"{signed}|{SPACE}+" + (f"|{end}" if end else ""))
         self.plain = [p.replace(SPACE, " ").encode() if t in (NORMAL, UNUSED) else None for p, t in zip(self.pieces, self.types)]
+        self.names = [str(i) for i in range(len(self.pieces))]
         self.kept = Kept(self.merge)
         self.digests = Kept(self._digest)
 
+    def _signs(self) -> set[str]:
+        """Characters, no letters, that follow only each other and marks in the pieces, so that a chunk may end before them."""
+        pairs = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
+        signs = {c for c in {*string.punctuation, *"".join(self.ids)} if not c.isalpha() and c not in (SPACE, "\n")}
+        while gone := {b for a, b in pairs if b in signs and a != SPACE and a not in signs}:
+            signs -= gone
+        return signs
+
     # normalisation
 
     def normalise(self, data: bytes) -> tuple[str, list[int] | None]:
@@ -209,6 +221,9 @@ class Model:
     def merge(self, chunk: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
         """Ids of a chunk and the number of its characters that each covers; later bytes cover none."""
         parts = self._merged(chunk) if len(chunk) <= SHORT else self._merged_long(chunk)
+        ids = [*map(self.ids.get, parts)]
+        if None not in ids:
+            return tuple(ids), tuple(map(len, parts))
         ids, spans = [], []
         for piece in parts:
             if piece in self.ids:
@@ -317,7 +332,7 @@ class Model:
         except TypeError:  # bytes decode together; another piece before them keeps a leading blank
             lead = self.ids[SPACE]
             plain = self.decode([lead, lead, *ids])[2 - (self.dummy or self.squeeze) :]
-        return len(ids), ",".join(map(str, ids)), plain, sizes
+        return len(ids), ",".join([self.names[i] for i in ids]), plain, sizes
 
     def digest(self, data: bytes) -> tuple[int, str, str, str]:
         """Number of ids and SHA-256 of the ids, of their decoding and of their spans, joined chunk by chunk."""

@@ -130,6 +130,18 @@ def test_sentencepiece(docs, empty):
     assert back == 0 and sp.digests(empty).count() == 0
 
 
+def test_sentencepiece_chunks_end_before_signs():
+    model, library = sp.Model(sp.read_model()), sentencepiece.SentencePieceProcessor(model_file=sp.default_model())
+    assert model.chunk.findall("▁thth,▁der.▁▁x%%%\n") == ["▁thth", ",", "▁der", ".", "▁▁x", "%%%", "\n"]
+    letters = "a t e n x é ß ñ 中 😀 \u0301 ▁ \n \t . , ; ' \" ( ) [ ] - _ / % * # & 1 9 ² … ” ’ » — –".split(" ") + [" ", "  ", "the", "ing", "...", "--"]
+    random.seed(7)
+    for _ in range(3000):
+        text = "".join(random.choices(letters, k=random.randint(1, 40)))
+        assert model.encode(text.encode()) == library.encode(text)
+        ids, _, decoded, _ = model.digest(text.encode())
+        assert ids == len(library.encode(text)) and decoded == sp.sha(library.decode(library.encode(text)).encode())
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
 def test_normalisation_offsets(rule):
     from sentencepiece import sentencepiece_model_pb2 as pb
