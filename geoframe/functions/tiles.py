@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .geometry import let
 
@@ -38,6 +41,34 @@ def tile_id(z: Column, x: Column, y: Column) -> Column:
     return F.when(valid, made).otherwise(F.when(z.isNotNull() & x.isNotNull() & y.isNotNull(), F.raise_error(F.lit("no such tile")).cast("long")))
 
 
+@F.arrow_udf(LongType())
+def _ids(z: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+    null = np.zeros(len(z), bool)
+    for a in (z, x, y):
+        null |= a.is_null().to_numpy(zero_copy_only=False)
+    z, x, y = (a.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for a in (z, x, y))
+    z, x, y = (np.where(null, 0, a) for a in (z, x, y))
+    held = (z >= 0) & (z <= MAX_ZOOM)
+    side = np.left_shift(1, np.where(held, z, 0))
+    if not (held & (x >= 0) & (y >= 0) & (x < side) & (y < side)).all():
+        raise ValueError("no such tile")
+    d = (side.astype(np.uint64) ** np.uint64(2) - np.uint64(1)) // np.uint64(3)
+    d = d.astype(np.int64)
+    for k in range(int(z.max(initial=0)) - 1, -1, -1):
+        on = z > k
+        rx, ry = x >> k & 1, y >> k & 1
+        d += np.where(on, (3 * rx ^ ry) << 2 * k, 0)
+        flip, turn = on & (ry == 0) & (rx == 1), on & (ry == 0)
+        x, y = np.where(flip, ~x, x), np.where(flip, ~y, y)  # only the bits below k are read again
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+    return pa.array(d, pa.int64(), mask=null)
+
+
+def tile_ids(z: Column, x: Column, y: Column) -> Column:
+    """``tile_id`` for whole tables: worked out for all rows of an Arrow batch at once, and so not for use inside lambdas."""
+    return _ids(z.cast("int"), x.cast("long"), y.cast("long"))
+
+
 def tile_zoom(id_: Column) -> Column:
     """The zoom of a valid id, from the number of bits of 3 * id + 1."""
     last = (4**MAX_ZOOM - 1) // 3

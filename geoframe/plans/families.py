@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoframe import schema as S
@@ -205,10 +205,20 @@ def gpx_metadata(spark, d):
 TILE = "SELECT CAST(14 AS INTEGER) AS z, c_custkey % 128 AS x, c_custkey // 128 AS y, 'payload ' || (c_custkey // 16 % 40) AS payload FROM customer"
 
 
+def placed(x: Column, y: Column) -> tuple[Column, Column]:
+    """The tile of zoom 14 for a place: rows beyond the zoom's last, 16 383, go on in the next 128 columns."""
+    return (x + 128 * F.floor(y / (1 << 14))).alias("x"), (y % (1 << 14)).alias("y")
+
+
+def unplaced(x: Column, y: Column) -> tuple[Column, Column]:
+    """The place of a tile; the inverse of ``placed``."""
+    return (x % 128).alias("x"), (y + (1 << 14) * F.floor(x / 128)).alias("y")
+
+
 def tiles(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     c = spark.read.parquet(f"{d}/customer.parquet")
-    return c.select(F.lit(14).alias("z"), (k % 128).alias("x"), F.floor(k / 128).alias("y"), F.concat(F.lit("payload "), F.floor(k / 16) % 40).cast("binary").alias("payload"))
+    return c.select(F.lit(14).alias("z"), *placed(k % 128, F.floor(k / 128)), F.concat(F.lit("payload "), F.floor(k / 16) % 40).cast("binary").alias("payload"))
 
 
 ARCHIVES: dict[tuple[str, str], str] = {}
@@ -234,7 +244,7 @@ def view(spark: SparkSession, path: str, name: str, **options) -> DataFrame:
 @query("archive_tiles", f"WITH t AS ({TILE}) SELECT * FROM t")
 def archive_tiles(spark, d):
     """Tiles written to an archive and read back."""
-    return view(spark, archive(spark, d), "tiles").select("z", "x", "y", F.col("payload").cast("string").alias("payload"))
+    return view(spark, archive(spark, d), "tiles").select("z", *unplaced(F.col("x"), F.col("y")), F.col("payload").cast("string").alias("payload"))
 
 
 @query("archive_tile", f"WITH t AS ({TILE}) SELECT x, y, payload FROM t WHERE x = 5 AND y = 3")
@@ -280,8 +290,8 @@ def archive_batch(spark, d):
     """Tiles for a list of coordinates with repeats, tiles that aren't there and impossible places."""
     o = spark.read.parquet(f"{d}/orders.parquet")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    asked = o.select(k.alias("place"), F.when(k % 11 == 0, 40).otherwise(14).alias("z"), (c % 128).alias("x"), (F.floor(c / 128) + F.when(k % 7 == 0, 9000).otherwise(0)).alias("y"))
-    return pmtiles.read_batch(spark, archive(spark, d), asked).withColumn("payload", F.col("payload").cast("string"))
+    asked = o.select(k.alias("place"), F.when(k % 11 == 0, 40).otherwise(14).alias("z"), *placed(c % 128, F.floor(c / 128) + F.when(k % 7 == 0, 9000).otherwise(0)))
+    return pmtiles.read_batch(spark, archive(spark, d), asked).select("place", "z", *unplaced(F.col("x"), F.col("y")), F.col("payload").cast("string").alias("payload"))
 
 
 @query("archive_contains", f"WITH t AS ({TILE}) SELECT o_orderkey AS place FROM orders WHERE o_custkey * 2 % 256 < 128 AND EXISTS (SELECT 1 FROM t WHERE x = o_custkey * 2 % 256 AND y = o_custkey // 128)")
@@ -304,7 +314,7 @@ def archive_codec(spark, d):
 
     path = archive(spark, d, tile_compression=4, internal_compression=3, codecs={3: lambda b: b[::-1]})
     pmtiles.register(spark, {3: lambda b: b[::-1], 4: lambda b: b[::-1]}, Counted())
-    return view(spark, path, "tiles", decompress="true").select("x", "y", F.col("payload").cast("string").alias("payload"))
+    return view(spark, path, "tiles", decompress="true").select(*unplaced(F.col("x"), F.col("y")), F.col("payload").cast("string").alias("payload"))
 
 
 @query(

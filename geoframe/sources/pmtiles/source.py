@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from geoframe.functions.tiles import tile_id
+from geoframe.functions.tiles import tile_ids
 from geoframe.operators.join import interval_lookup
 
 from . import format as A
@@ -280,7 +280,7 @@ def read_batch(spark: SparkSession, path: str, asked: DataFrame, order: str = "p
     side = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("z").cast("int"))
     good = F.col("z").between(0, 31) & (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < side) & (F.col("y") < side)
     ids = asked.select(F.col(order).alias("place"), F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
-    keyed = ids.withColumn("tile", F.when(good, tile_id(F.when(good, F.col("z")), F.when(good, F.col("x")), F.when(good, F.col("y")))))
+    keyed = ids.withColumn("tile", tile_ids(F.when(good, F.col("z")), F.when(good, F.col("x")), F.when(good, F.col("y"))))
     entries = view("directory").select(F.col("tile_id").alias("first"), "offset", "length", "run_length")
     met = interval_lookup(keyed, entries, "tile", "first", "run_length")
     wanted = met.filter("offset IS NOT NULL").select("offset", "length").distinct()

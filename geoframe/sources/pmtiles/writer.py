@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoframe.functions.tiles import tile_id
+from geoframe.functions.tiles import tile_ids
 
 from . import format as A
 
@@ -49,12 +49,11 @@ def assemble(tiles: DataFrame) -> DataFrame:
 
     Tiles of one place twice, and empty payloads, are errors. ``key`` is the payload's SHA-256.
     """
-    named = tiles.select(tile_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"), "payload")
+    named = tiles.select(tile_ids(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"), "payload")
     checked = named.withColumn("payload", F.when(F.length("payload") > 0, F.col("payload")).otherwise(F.raise_error(F.lit("a tile is empty")).cast("binary")))
     twice = checked.groupBy("tile_id").agg(F.count("*").alias("c"), F.first(F.sha2("payload", 256)).alias("key"), F.first(F.length("payload")).alias("length"))
     once = twice.withColumn("key", F.when(F.col("c") == 1, F.col("key")).otherwise(F.raise_error(F.lit("a tile is given twice"))))
-    sizes = once.groupBy("key").agg(F.first("length").alias("length"))
-    return entry_runs(once.select("tile_id", "key"), F.col("key")).join(sizes, "key")
+    return entry_runs(once, F.struct("key", "length")).select("tile_id", "run_length", "key.*")  # one length a key
 
 
 def running(df: DataFrame, order: str, value: Column, name: str, spread: int = 1 << 16) -> DataFrame:
@@ -72,11 +71,11 @@ def running(df: DataFrame, order: str, value: Column, name: str, spread: int = 1
 
 def directories(entries: DataFrame, compress, size: int) -> DataFrame:
     """(leaf, first, bytes): the directories of ``size`` entries each, in order, from (place, tile_id, offset, length, run_length)."""
-    packed = entries.groupBy(F.floor(F.col("place") / size).alias("leaf")).agg(F.array_sort(F.collect_list(F.struct("tile_id", "offset", "length", "run_length"))).alias("rows"))  # ``size`` rows each
+    packed = entries.groupBy(F.floor(F.col("place") / size).alias("leaf")).agg(F.sort_array(F.collect_list(F.struct("tile_id", "offset", "length", "run_length"))).alias("rows"))  # ``size`` rows each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[A.Entry(**r) for r in x] for x in batch.column("rows").to_pylist()]
+            rows = [[A.Entry(*e) for e in zip(*(c.to_pylist() for c in x.values.flatten()))] for x in batch.column("rows")]
             made = [compress(A.encode_directory(x)) for x in rows]
             yield pa.RecordBatch.from_arrays([batch.column("leaf"), pa.array([x[0].tile_id for x in rows], pa.int64()), pa.array(made, pa.binary())], names=["leaf", "first", "bytes"])
 
@@ -127,7 +126,7 @@ def write(tiles: DataFrame, path: str, metadata: str = "{}", tile_type: int = A.
         header = places | {"addressed_tiles": told.tiles, "tile_entries": told.entries, "tile_contents": told.contents, "clustered": 1, "internal_compression": internal_compression, "tile_compression": tile_compression, "tile_type": tile_type, "min_zoom": zooms[0], "max_zoom": zooms[1]}
         w, s, e, n = bounds
         header |= {"min_lon": w, "min_lat": s, "max_lon": e, "max_lat": n, "center_zoom": zooms[0], "center_lon": (w + e) / 2, "center_lat": (s + n) / 2}
-        named = tiles.select(tile_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"), "payload").join(firsts.select(F.col("first").alias("tile_id")), "tile_id")
+        named = tiles.select(tile_ids(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"), "payload").join(firsts.select(F.col("first").alias("tile_id")), "tile_id")
         with (sink or _sink)(path) as f:
             f.write(A.encode_header(header) + root + meta)
             for r in leaves.orderBy("first").toLocalIterator() if leaves is not None else ():
