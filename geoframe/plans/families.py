@@ -298,7 +298,7 @@ def archive_batch(spark, d):
 def archive_contains(spark, d):
     """The coordinates whose tile is in the archive."""
     asked = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("place"), (F.col("o_custkey") * 2 % 256).alias("x"), F.floor(F.col("o_custkey") / 128).alias("y"))
-    keyed = asked.filter("x < 128").withColumn("tile", T.tile_id(F.lit(14), F.col("x"), F.col("y")))
+    keyed = asked.filter("x < 128").select("place", *placed(F.col("x"), F.col("y"))).filter(F.col("x") < 1 << 14).withColumn("tile", T.tile_ids(F.lit(14), F.col("x"), F.col("y")))
     entries = view(spark, archive(spark, d), "directory").select(F.col("tile_id").alias("first"), "run_length")
     return J.interval_lookup(keyed, entries, "tile", "first", "run_length", "left_semi").select("place")
 

@@ -21,7 +21,7 @@ def far(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["archive_directory", "archive_metadata", "archive_tiles", "archive_tile", "archive_header", "archive_batch", "archive_codec"])
+@pytest.mark.parametrize("name", ["archive_directory", "archive_metadata", "archive_tiles", "archive_tile", "archive_header", "archive_batch", "archive_codec", "archive_contains"])
 def test_far_places(spark, far, name):
     folder, con = far
     got, want = QUERIES[name](spark, folder).toPandas(), con.execute(SQL[name]).df()
