@@ -98,25 +98,47 @@ def filter_inside(points: DataFrame, polygons: DataFrame, key: str, point: str =
     return joined.withColumn(point, cut).select(*points.columns)
 
 
+FINE = 4  # cells along the side of a level's largest box, for pairs of boxes
+
+
+def _fine(v: Column, level: Column) -> Column:
+    return F.floor(v / (_size(level) / FINE))
+
+
 def boxes_intersect(left: DataFrame, right: DataFrame, left_box: str = "bbox", right_box: str = "bbox") -> DataFrame:
     """All pairs of rows whose boxes meet, as structs ``left`` and ``right``.
 
-    A pair is looked up at the larger of its levels and kept in the cell of the south-west
-    corner of the overlap only, so it comes once.
+    A pair is looked up at the larger of its levels, in the cell of the south-west corner of the
+    overlap. In that cell one box begins from the west and one from the south: a box that begins
+    in both ways meets all others, one that begins from the west only meets those that begin from
+    the south only, and those that cover the cell's south-west corner meet no other of their kind.
+    So a pair comes once, and the many boxes that lie over a cell aren't compared with each other.
     """
 
-    def dealt(df: DataFrame, name: str, box: str, others: Column) -> DataFrame:
-        own = df.select(F.struct("*").alias(name), F.col(box).alias("box")).filter("box IS NOT NULL").withColumn("own", box_level(F.col("box")))
-        own = own.withColumn("others", others)
+    def dealt(df: DataFrame, name: str, box: str, others: Column, kinds: tuple) -> DataFrame:
+        b = F.col("box")
+        own = df.select(F.struct("*").alias(name), F.col(box).alias("box")).filter("box IS NOT NULL").repartition("box")  # a small file may hold boxes of many cells
+        own = own.withColumn("own", box_level(b)).withColumn("others", others)
         levels = F.concat(F.array("own"), F.filter("others", lambda k: k > F.col("own")))
-        return own.withColumn("level", F.explode(levels)).withColumn("cell", F.explode(_box_cells(F.col("box"), F.col("level"))))
-
+        flat = own.select(name, "own", M.west(b).alias("w"), M.south(b).alias("s"), M.east(b).alias("e"), M.north(b).alias("n"), F.explode(levels).alias("level"))
+        first = {"fx": _fine(F.col("w"), F.col("level")), "fy": _fine(F.col("s"), F.col("level"))}
+        last = {"lx": F.greatest("fx", _fine(F.col("e"), F.col("level"))), "ly": F.greatest("fy", _fine(F.col("n"), F.col("level")))}
+        celled = flat.withColumns(first).withColumns(last).withColumn("cx", F.explode(F.sequence("fx", "lx"))).withColumn("cy", F.explode(F.sequence("fy", "ly")))
+        from_west, from_south = F.col("cx") == F.col("fx"), F.col("cy") == F.col("fy")
+        both, west, south, over = (F.array(*map(F.lit, k)) for k in kinds)
+        kind = F.when(from_west & from_south, both).when(from_west, west).when(from_south, south).otherwise(over)
+        return celled.withColumn("kind", F.explode(kind)).select(name, "own", "w", "s", "e", "n", "level", "cx", "cy", "kind")
+
+    # Kinds of pairs: 0 left begins both ways, 1 right does, 2 left from the west and right from the south, 3 the other way round.
     a_levels, b_levels = _levels(left, box_level(F.col(left_box))), _levels(right, box_level(F.col(right_box)))
-    a, b = dealt(left, "left", left_box, b_levels).alias("a"), dealt(right, "right", right_box, a_levels).alias("b")
-    x, y = F.col("a.box"), F.col("b.box")
-    top = F.greatest("a.own", "b.own")
-    home = (F.col("a.cell.cx") == _cell(F.greatest(M.west(x), M.west(y)), top)) & (F.col("a.cell.cy") == _cell(F.greatest(M.south(x), M.south(y)), top))
-    return a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.cell.level") == top) & M.bboxes_intersect(x, y) & home).select("a.left", "b.right")
+    a = dealt(left, "left", left_box, b_levels, ((0,), (1, 2), (1, 3), (1,))).alias("a")
+    b = dealt(right, "right", right_box, a_levels, ((0, 1), (0, 3), (0, 2), (0,))).alias("b")
+    same = F.lit(True)
+    for c in ("level", "cx", "cy", "kind"):
+        same &= _ref("a", c) == _ref("b", c)
+    meet = (_ref("a", "w") <= _ref("b", "e")) & (_ref("a", "e") >= _ref("b", "w")) & (_ref("a", "s") <= _ref("b", "n")) & (_ref("a", "n") >= _ref("b", "s"))
+    # Files tell nothing of how many cells their boxes meet, so neither side is broadcast; a merge can spill.
+    return a.join(b.hint("merge"), same & (_ref("a", "level") == F.greatest("a.own", "b.own")) & meet).select("a.left", "b.right")
 
 
 def interval_lookup(keys: DataFrame, ranges: DataFrame, key: str, start: str, length: str, how: str = "left") -> DataFrame:

@@ -72,3 +72,18 @@ def test_points_on_level_edges(spark):
     assert pairs(False) == {(1, "box"), (2, "box"), (3, "box"), (5, "box"), (1, "tent"), (2, "tent"), (3, "tent"), (1, "hole"), (2, "hole"), (4, "hole"), (5, "hole")}
     assert pairs(True) == {(3, "box"), (3, "tent"), (4, "hole")}
     assert {r.k for r in J.filter_inside(points, polygons.filter("name = 'box'"), "k").collect()} == {1, 2, 3, 5}
+
+
+def test_boxes_are_dealt_by_how_they_begin(spark, tmp_path):
+    """Boxes on cell edges and copies meet once a pair, and neither side is broadcast, as files don't tell how many cells there are."""
+    rows = [(k, x / 8, y / 8, x / 8 + w, y / 8 + h) for k, (x, y, w, h) in enumerate((x, y, w, h) for x in (-1, 0, 1, 2) for y in (-2, 0, 1) for w, h in ((0.0, 0.0), (0.125, 0.25), (0.25, 0.0625), (1.0, 3.0)))]
+    rows += [(len(rows) + k, *r[1:]) for k, r in enumerate(rows[:5])] + [(999, None, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, w double, s double, e double, n double").select("k", F.when(F.col("w").isNotNull(), F.array("w", "s", "e", "n")).alias("bbox"))
+    df.write.parquet(str(tmp_path / "boxes"))
+    df = spark.read.parquet(str(tmp_path / "boxes"))
+    few = df.filter("k % 3 = 0")
+    made = J.boxes_intersect(df, few).select(F.col("left.k").alias("a"), F.col("right.k").alias("b"))
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    got = [(r.a, r.b) for r in made.collect()]
+    want = {(a[0], b[0]) for a in rows[:-1] for b in rows[:-1] if b[0] % 3 == 0 and a[1] <= b[3] and a[3] >= b[1] and a[2] <= b[4] and a[4] >= b[2]}
+    assert len(got) == len(set(got)) and set(got) == want
